@@ -13,9 +13,9 @@ def total(columns: list[Column]) -> Column:
     return reduce(add, columns)
 
 
-def log_sum_exp(columns: list[Column]) -> Column:
-    """ln of the sum of exponentials, shifted by the largest term."""
-    largest = F.greatest(*columns)
+def log_sum_exp(columns: list[Column], largest: Column | None = None) -> Column:
+    """ln of the sum of exponentials, shifted by the largest term; pass it if it is a column already."""
+    largest = F.greatest(*columns) if largest is None else largest
     return largest + F.ln(total([F.exp(c - largest) for c in columns]))
 
 

@@ -95,10 +95,10 @@ class Quality(Density):
 
     def compress(self, sites: DataFrame) -> DataFrame:
         """Long form, one row per site, sample and distinct (q, r); a site without reads keeps one empty row."""
-        cells = F.concat(*[
-            F.transform(f"reads_{s}", lambda x, s=s: F.struct(F.lit(s).alias("s"), *[x[c].alias(c) for c in "qrn"]))
-            for s in SAMPLE_SUFFIXES
-        ])
+        def marked(s: str) -> Column:
+            return F.transform(f"reads_{s}", lambda x: F.struct(F.lit(s).alias("s"), *[x[c].alias(c) for c in "qrn"]))
+
+        cells = F.concat(*[marked(s) for s in SAMPLE_SUFFIXES])
         return sites.select(*SITE, F.explode_outer(cells).alias("c")).select(*SITE, "c.*")
 
     def terms(self, training: DataFrame, params: BinomialParams) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.likelihood import log
 from ..functions.logspace import log_sum_exp
+from ..operators.once import compute_once
 from ..schema import GENOTYPES, JOINT_GENOTYPES, POSTERIORS
 from .density import DEFAULT_MODEL, LOGLIKS, Density, loglik_name, model_by_name
 
@@ -23,7 +24,8 @@ def joint_loglik(pi: tuple[float, ...]) -> list[Column]:
 def posteriors(with_loglik: DataFrame, pi: tuple[float, ...], keep_lse: bool = False) -> DataFrame:
     """Replace the six `l_*` columns by the nine `p_*` columns (and `lse`, the log-likelihood of the site)."""
     joint = {f"_j_{g}": c for g, c in zip(JOINT_GENOTYPES, joint_loglik(pi))}
-    rows = with_loglik.withColumns(joint).withColumn("lse", log_sum_exp([F.col(c) for c in joint]))
+    rows = with_loglik.withColumns(joint).withColumn("_largest", F.greatest(*joint))
+    rows = compute_once(rows, {"lse": log_sum_exp([F.col(c) for c in joint], F.col("_largest"))}).drop("_largest")
     rows = rows.withColumns({p: F.exp(F.col(c) - F.col("lse")) for p, c in zip(POSTERIORS, joint)})
     return rows.drop(*joint, *LOGLIKS, *([] if keep_lse else ["lse"]))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.likelihood import read_likelihood
 from ..functions.quality import mismatch_prob, phred_prob
 from ..schema import COUNTS, GENOTYPES, NORMAL, NUCLEOTIDES, SAMPLES, SUFFIX, TUMOUR
+from .once import compute_once
 from .pileup import passes
 from .reference import with_reference_base
 
@@ -73,7 +74,7 @@ def _gather(rows: DataFrame, *extra: Column) -> DataFrame:
         sums += [F.sum(F.when(F.col("base") == b, n).otherwise(0)).alias(f"_{b}_{s}") for b in NUCLEOTIDES]
     sites = rows.groupBy("chrom", "pos", "ref_base").agg(*sums, *extra).where("_cover_N > 0 AND _cover_T > 0")
     totals = {b: F.col(f"_{b}_N") + F.col(f"_{b}_T") for b in NUCLEOTIDES}
-    sites = sites.withColumn("var_base", variant_base(F.col("ref_base"), totals))
+    sites = compute_once(sites, {"var_base": variant_base(F.col("ref_base"), totals)})
     zero = F.lit(0).cast("long")
     return sites.withColumns({
         f"b_{s}": pick(F.col("var_base"), {b: F.col(f"_{b}_{s}") for b in NUCLEOTIDES}, zero) for s in "NT"
