@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import parse_flag
 from ..functions.tags import parse_tags
+from ..operators.once import compute_once
 from ..schema import ALIGNMENT, FLAG_BITS
 from .files import list_files, open_input
 
@@ -27,9 +28,9 @@ def parse_alignments(lines: DataFrame, sample: str, column: str = "value") -> Da
     without a CIGAR counts as unmapped.
     """
     text = F.col(column)
-    f = F.split(text, "\t")
+    rows = compute_once(lines.where((text != "") & ~text.startswith("@")), {"_fields": F.split(text, "\t")})
+    f = F.col("_fields")
     at = lambda i: F.get(f, F.lit(i))
-    rows = lines.where((text != "") & ~text.startswith("@"))
     position = lambda i: F.coalesce(_leading_int(at(i)) - 1, F.lit(-1))
     flag = parse_flag(at(1))
     unmapped_bit = F.when(at(5).startswith("*"), flag.bitwiseOR(FLAG_BITS["unmapped"])).otherwise(flag)
