@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, fields
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.durable import durable
 from ..schema import GENOTYPES, JOINT_GENOTYPES, POSTERIORS
 from .density import DEFAULT_MODEL, SAMPLE_SUFFIXES, Density, marginal, model_by_name
 from .scoring import posteriors
@@ -88,7 +88,7 @@ def fit(
     density = model_by_name(model)
     params = density.params_type() if params is None else params
     priors = density.params_type.priors_type() if priors is None else priors
-    training = density.compress(sites).persist(StorageLevel.MEMORY_AND_DISK)
+    training = durable(density.compress(sites))
     history, previous, converged = [], -math.inf, False
     try:
         while True:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..models.density import DEFAULT_MODEL, Density, model_by_name
 from ..models.em import FitResult, fit
+from ..operators.durable import durable
 from ..operators.sampling import every_kth
 from ..operators.sites import in_depth_range, joint_counts, joint_qualities
 from .observations import listed
@@ -55,7 +55,7 @@ def train(
     eligible = eligible_sites(obs, reference, model, **limits)
     if skip <= 1:
         return fit(eligible, model, priors, params, max_iters, tolerance)
-    eligible = eligible.persist(StorageLevel.MEMORY_AND_DISK)
+    eligible = durable(eligible)
     try:
         return fit(every_kth(eligible, skip), model, priors, params, max_iters, tolerance)
     finally:
