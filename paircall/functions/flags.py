@@ -21,7 +21,7 @@ def parse_flag(text: Column) -> Column:
         [F.when(F.instr(text, letter) > 0, FLAG_BITS[name]).otherwise(0) for name, letter in FLAG_LETTERS.items()],
     )
     return (
-        F.when(text.rlike("^(0|[1-9][0-9]*)$"), text.try_cast("int"))
+        F.when((text == "0") | ((text >= "1") & (text < ":") & text.try_cast("int").isNotNull()), text.try_cast("int"))
         .when(text.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(text, 3, 16), 16, 10).try_cast("int"))
         .when(text.rlike("^0[0-7]+$"), F.conv(text, 8, 10).try_cast("int"))
         .otherwise(letters)

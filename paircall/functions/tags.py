@@ -6,8 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A field that is no KEY:TYPE:VALUE, or a key that comes twice.
+_IRREGULAR = "(?:^|\t)(?!..:.:)|(?:^|\t)(..):[^\t]*\t(?:.*\t)?\\1:"
+
+
 def parse_tags(fields: Column) -> Column:
     """Array of `KEY:TYPE:VALUE` strings to a map; for a repeated key the first one counts."""
+    text = F.array_join(fields, "\t")
+    return F.when(text.rlike(_IRREGULAR), _first_of_each(fields)).otherwise(
+        F.str_to_map(text, F.lit("\t"), F.lit(":"))
+    )
+
+
+def _first_of_each(fields: Column) -> Column:
     well_formed = F.filter(fields, lambda f: f.rlike("^..:.:"))
     keys = F.transform(well_formed, lambda f: f.substr(1, 2))
     entries = F.transform(

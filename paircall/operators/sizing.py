@@ -17,3 +17,13 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting; a larger side is left to Catalyst and AQE."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than the cluster has cores one per core.
+
+    For inputs that Spark cannot split, such as gzip text or one large row group, before work that costs
+    far more than moving the rows. A scan with enough partitions is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

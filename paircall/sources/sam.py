@@ -17,8 +17,19 @@ from ..schema import ALIGNMENT, FLAG_BITS
 from .files import list_files, open_input
 
 
-def _leading_int(text: Column, pattern: str = "^[0-9]+") -> Column:
-    return F.regexp_extract(text, pattern, 0).try_cast("int")
+def _starts_with_digit(text: Column) -> Column:
+    return (text >= "0") & (text < ":")
+
+
+def _leading_int(text: Column) -> Column:
+    """Digits at the start of a field as a number, else null; the pattern is tried only on odd fields."""
+    number = F.coalesce(text.try_cast("int"), F.regexp_extract(text, "^[0-9]+", 0).try_cast("int"))
+    return F.when(_starts_with_digit(text), number)
+
+
+def _leading_signed(text: Column) -> Column:
+    number = F.coalesce(text.try_cast("int"), F.regexp_extract(text, "^-?[0-9]+", 0).try_cast("int"))
+    return F.when(_starts_with_digit(text) | text.startswith("-"), number)
 
 
 def parse_alignments(lines: DataFrame, sample: str, column: str = "value") -> DataFrame:
@@ -45,7 +56,7 @@ def parse_alignments(lines: DataFrame, sample: str, column: str = "value") -> Da
         at(5).alias("cigar"),
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("mate_chrom"),
         position(7).alias("mate_pos"),
-        F.coalesce(_leading_int(at(8), "^-?[0-9]+"), F.lit(0)).alias("isize"),
+        F.coalesce(_leading_signed(at(8)), F.lit(0)).alias("isize"),
         optional(9).alias("seq"),
         optional(10).alias("qual"),
         F.when(F.size(f) > 11, parse_tags(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))))).alias("tags"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paircall.operators.reference import chunk_table
+from paircall.operators.sizing import spread
 from paircall.sources.sam import parse_alignments
 
 CONTIGS = ("A", "N", "R")
@@ -22,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the line items that stand for observations and alignments."""
+    columns = ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "returnflag", "linestatus")
+    return spread(table(spark, sf_dir, "lineitem").select(*[f"l_{c}" for c in columns]))
+
+
 def choose(index: Column, values) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -41,10 +48,10 @@ def reference_letter() -> Column:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`sample, chrom, pos, ref_base, base, bq, mq`."""
     part = table(spark, sf_dir, "part").select("p_partkey", reference_letter().alias("ref_base"))
-    items = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    pairs = items(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
     other = F.substring(F.lit("ACGT"), (1 + F.col("l_suppkey") % 4).cast("int"), F.lit(1))
     base = F.when(F.col("l_linenumber") == 7, None).when(F.col("l_suppkey") % 10 < 6, F.col("ref_base")).otherwise(other)
-    return items.select(
+    return pairs.select(
         _sample().alias("sample"),
         F.col("l_returnflag").alias("chrom"),
         F.col("l_partkey").cast("int").alias("pos"),
@@ -57,7 +64,6 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignment_lines(spark: SparkSession, sf_dir: str, sample: str) -> DataFrame:
     """SAM text lines of one sample."""
-    items = table(spark, sf_dir, "lineitem").where(_sample() == sample)
     kind = F.col("l_linenumber") - 1
     length = choose(kind, [n for _, n in CIGARS])
     start = lambda column, n: (1 + F.col(column).cast("int") % n).cast("int")
@@ -78,7 +84,8 @@ def alignment_lines(spark: SparkSession, sf_dir: str, sample: str) -> DataFrame:
         F.concat(F.lit("XT:A:"), F.col("l_returnflag")),
         F.concat(F.lit("XF:f:"), F.col("l_linenumber").cast("string"), F.lit(".5")),
     ]
-    return items.select(F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("value"))
+    mine = items(spark, sf_dir).where(_sample() == sample)
+    return mine.select(F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("value"))
 
 
 def reads(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
@@ -121,10 +128,10 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def header_lines(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
     """`@SQ` lines of the contigs that a sample has reads on, and `@RG` lines of the suppliers."""
-    items = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
     if sample:
-        items = items.where(_sample() == sample)
-    squares = items.groupBy("l_returnflag").agg(F.max("l_partkey").alias("last")).select(
+        lines = lines.where(_sample() == sample)
+    squares = lines.groupBy("l_returnflag").agg(F.max("l_partkey").alias("last")).select(
         F.ascii("l_returnflag").alias("line_no"),
         F.concat(F.lit("@SQ\tSN:"), "l_returnflag", F.lit("\tLN:"), (F.col("last") + 1).cast("string")).alias("value"),
     )
