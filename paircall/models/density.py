@@ -36,6 +36,7 @@ class Density:
     name: str
     params_type: type
     needs_reads = False
+    training_keys: tuple[str, ...] = ()  # columns that `terms` groups the training table by
 
     def with_loglik(self, sites: DataFrame, params) -> DataFrame:
         raise NotImplementedError
@@ -85,6 +86,7 @@ class Quality(Density):
     name = "quality"
     params_type = BinomialParams
     needs_reads = True
+    training_keys = SITE
 
     def with_loglik(self, sites: DataFrame, params: BinomialParams) -> DataFrame:
         return sites.withColumns({
@@ -104,8 +106,8 @@ class Quality(Density):
     def terms(self, training: DataFrame, params: BinomialParams) -> DataFrame:
         """Per-site sums over the long form.
 
-        Explode keeps the (chrom, pos) partitioning of the site table, so this grouping needs no shuffle,
-        and its arithmetic is generated code where a fold over arrays would be interpreted.
+        The training table is kept partitioned by site, so this grouping needs no shuffle, and its arithmetic is
+        generated code where a fold over arrays would be interpreted.
         """
         q, r, n = F.col("q"), F.col("r"), F.col("n")
         rows, sums = training, []

@@ -88,7 +88,7 @@ def fit(
     density = model_by_name(model)
     params = density.params_type() if params is None else params
     priors = density.params_type.priors_type() if priors is None else priors
-    training = durable(density.compress(sites))
+    training = durable(density.compress(sites), density.training_keys)
     history, previous, converged = [], -math.inf, False
     try:
         while True:

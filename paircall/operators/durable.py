@@ -19,12 +19,13 @@ def _checkpoint_folder(spark: SparkSession) -> str | None:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Compute once, write to the checkpoint folder, and keep in memory or on disk for repeated reads.
 
-    Blocks lost with an executor are read again from the checkpoint instead of from the alignments. The caller
+    Blocks lost with an executor are read again from the checkpoint instead of from the alignments. The kept
+    rows are partitioned by `keys`, so that repeated aggregations by them need no shuffle. The caller
     unpersists. A cluster without a checkpoint folder only caches.
     """
     if _checkpoint_folder(df.sparkSession) is not None:
         df = df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return (df.repartition(*keys) if keys else df).persist(StorageLevel.MEMORY_AND_DISK)

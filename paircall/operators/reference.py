@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import normalise_bases
 from ..schema import CHUNK
 from .sizing import BROADCAST_ROWS, broadcast_if_small, is_small
 
+# Chunks that are gathered at once when an interval is put together.
+_GATHER = 1024
+
 
 def contig_lengths(chunks: DataFrame) -> DataFrame:
     """`chrom, length, last_base` of every contig in the chunk table."""
-    return chunks.groupBy("chrom").agg(
-        F.max(F.col("chunk_start") + F.length("seq")).alias("length"),
-        F.upper(F.max_by(F.right("seq", F.lit(1)), "chunk_start")).alias("last_base"),
+    end = F.col("chunk_start").cast("long") + F.length("seq")
+    last = F.max(end * 128 + F.ascii(F.upper(F.right("seq", F.lit(1)))))
+    return chunks.groupBy("chrom").agg(last.alias("_last")).select(
+        "chrom", F.shiftright("_last", 7).alias("length"), F.char(F.col("_last") % 128).alias("last_base")
     )
 
 
@@ -77,23 +81,31 @@ def fetch_intervals(intervals: DataFrame, chunks: DataFrame, chunk: int = CHUNK)
     first = F.greatest(F.col("_start"), F.col("chunk_start"))
     until = F.least(F.col("_end"), F.col("chunk_start") + F.length("_seq"))
     part = F.when(until > first, F.substring("_seq", first - F.col("chunk_start") + 1, until - first)).otherwise("")
+    # Two steps, so that the pieces of one long interval are gathered by many tasks first.
+    block = F.floor(F.col("chunk_id") / _GATHER).cast("int")
+    parts = pieces.select(*keys, block.alias("_block"), F.struct(F.col("chunk_id").alias("at"), part.alias("text")).alias("_p"))
+    blocks = parts.groupBy(*keys, "_block").agg(_joined("_p").alias("text"))
     return (
-        pieces.select(*keys, F.struct("chunk_id", F.coalesce(part, F.lit("")).alias("part")).alias("_piece"))
+        blocks.select(*keys, F.struct(F.col("_block").alias("at"), "text").alias("_p"))
         .groupBy(*keys)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["part"]), "").alias("sequence"))
+        .agg(_joined("_p").alias("sequence"))
     )
 
 
+def _joined(column: str) -> Column:
+    """The `text` of all structs of a group in the order of `at`."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda p: p["text"]), "")
+
+
 def chunk_table(bases: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Chunk table of a reference given per position, `chrom, pos, ref_base` without gaps."""
     pieces = bases.select(
         "chrom",
         F.floor(F.col("pos") / chunk).cast("int").alias("chunk_id"),
-        F.struct(F.col("pos").cast("int").alias("pos"), "ref_base").alias("b"),
+        F.struct(F.col("pos").cast("int").alias("at"), F.col("ref_base").alias("text")).alias("b"),
     )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["ref_base"]), "")
     return (
         pieces.groupBy("chrom", "chunk_id")
-        .agg(F.min("b.pos").alias("chunk_start"), joined.alias("seq"))
+        .agg(F.min("b.at").alias("chunk_start"), _joined("b").alias("seq"))
         .select("chrom", "chunk_id", "chunk_start", normalise_bases(F.col("seq")).alias("seq"))
     )

@@ -36,6 +36,7 @@ TAG_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f":
 # -------------------------------------------------------------------------------------------------
 
 SPLIT_BYTES = 32 << 20
+MIN_PART_BYTES = 512
 BATCH_ROWS = 8192
 
 
@@ -48,14 +49,20 @@ class Header:
 
 @dataclass
 class BamSplit(InputPartition):
-    """Records from virtual offset `begin` up to `end`; None is the end of the file."""
+    """Records from `begin` up to `end`; None is the end of the file.
+
+    Both are virtual offsets from the index, or negative: then the split is a part of a stretch too long for
+    one task, and the border is the first record in a block that starts at byte -value or later. `limit` is
+    the virtual offset at which the stretch ends.
+    """
 
     path: str
     begin: int
     end: int | None
+    limit: int | None = None
 
-    def __init__(self, path: str, begin: int, end: int | None):
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, path: str, begin: int, end: int | None, limit: int | None = None):
+        self.path, self.begin, self.end, self.limit = path, begin, end, limit
 
 
 class BlockStream:
@@ -94,6 +101,10 @@ class BlockStream:
             self.next_block += length
         return True
 
+    def available(self, size: int) -> bool:
+        """Hold `size` bytes; True if the file ends before that."""
+        return not self._fill(size)
+
     def voffset(self) -> int:
         """Virtual offset of the next byte; at the end of a block that of the next block."""
         i = bisect_right(self.starts, self.position) - 1
@@ -187,7 +198,7 @@ def read_index(path: str) -> tuple[list[ContigIndex], list[int]]:
 
 
 def plan_splits(path: str, size: int, split_bytes: int, ranges: list[tuple[int, int | None]] | None) -> list[BamSplit]:
-    """Record-aligned splits of a file, each at least `split_bytes` of compressed data where the index allows."""
+    """Splits of a file of about `split_bytes` of compressed data."""
     _, first = read_bam_header(path)
     _, offsets = read_index(index_path(path))
     cuts, splits = [first], []
@@ -199,10 +210,99 @@ def plan_splits(path: str, size: int, split_bytes: int, ranges: list[tuple[int,
         for low, high in whole:
             low, high = max(low, begin), end if high is None else (high if end is None else min(high, end))
             if high is None or low < high:
-                splits.append(BamSplit(path, low, high))
+                splits += _parts(path, low, high, size, split_bytes)
     return splits
 
 
+def _parts(path: str, low: int, high: int | None, size: int, split_bytes: int) -> list[BamSplit]:
+    """One split, or several where the index knows no record inside a long stretch, as at a very deep position."""
+    last, step = size if high is None else high >> 16, max(split_bytes, MIN_PART_BYTES)
+    borders = [-at for at in range((low >> 16) + step, last - step // 2, step)]
+    ends = [*borders, high]
+    return [BamSplit(path, begin, end, high) for begin, end in zip([low, *borders], ends)]
+
+
+_CHAIN = 4  # sound records in a row that make a border
+_WINDOW = 1 << 18
+
+
+def _record_size(data: bytes, at: int, header: Header) -> int:
+    """Length of the record at `at` with its length field, 0 if `data` ends inside it, -1 if it is none."""
+    if at + 36 > len(data):
+        return 0
+    size, tid, pos, name_len, _, _, cigars, _, seq_len, mate_tid, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    contigs = len(header.names)
+    sound = (
+        name_len > 0
+        and seq_len >= 0
+        and -1 <= tid < contigs
+        and -1 <= mate_tid < contigs
+        and -1 <= pos <= (header.lengths[tid] if tid >= 0 else 1 << 31)
+        and -1 <= mate_pos <= (header.lengths[mate_tid] if mate_tid >= 0 else 1 << 31)
+        and size >= 32 + name_len + 4 * cigars + (seq_len + 1) // 2 + seq_len
+    )
+    if not sound:
+        return -1
+    names_end = at + 36 + name_len
+    if names_end + 4 * cigars > len(data):
+        return 0
+    if data[names_end - 1] != 0 or not all(33 <= c <= 126 for c in data[at + 36:names_end - 1]):
+        return -1
+    if any(data[names_end + 4 * i] & 15 > 8 for i in range(cigars)):
+        return -1
+    return 4 + size
+
+
+def find_record(f, byte: int, header: Header, limit: int | None) -> int | None:
+    """Virtual offset of the first record in a block at `byte` or later; `limit` if there is none before it.
+
+    A block is recognised by its header and by another block behind it, a record by a chain of sound records.
+    A wrong border cannot pass unnoticed: the split before it has to end exactly there.
+    """
+    for block in _block_starts(f, byte):
+        if limit is not None and block << 16 >= limit:
+            return limit
+        stream, want = BlockStream(f, block << 16), _WINDOW
+        complete = stream.available(want)
+        at = 0
+        while at < len(stream.buffer):
+            position, length, found = at, 0, 0
+            while found < _CHAIN:
+                length = _record_size(stream.buffer, position, header)
+                if length == 0 and not complete:
+                    want *= 2
+                    complete = stream.available(want)
+                    continue
+                if length <= 0:
+                    break
+                position, found = position + length, found + 1
+                if position > len(stream.buffer) and not complete:
+                    complete = stream.available(max(want, position + 36))
+            if found == _CHAIN or (found > 0 and complete and position == len(stream.buffer)):
+                stream.position = at
+                result = stream.voffset()
+                return result if limit is None else min(result, limit)
+            at += 1
+    return limit
+
+
+def _block_starts(f, byte: int) -> Iterator[int]:
+    """Bytes at `byte` or later at which a compressed block starts and another one, or nothing, follows it."""
+    size, at = f.size(), byte
+    while at < size:
+        f.seek(at)
+        data = f.read(1 << 17)
+        i = data.find(b"\x1f\x8b\x08\x04")
+        while i >= 0 and i + 18 <= len(data):
+            if data[i + 10:i + 16] == b"\x06\x00BC\x02\x00":
+                after = at + i + struct.unpack_from("<H", data, i + 16)[0] + 1
+                f.seek(after)
+                if after == size or f.read(4) == b"\x1f\x8b\x08\x04":
+                    yield at + i
+            i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+        at += max(len(data) - 17, 1)
+
+
 def _ragged(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of many slices of `data`, one after another."""
     total = int(lengths.sum())
@@ -345,9 +445,17 @@ class BamReader(DataSourceReader):
         header, _ = read_bam_header(partition.path)
         names = np.array([*header.names, "*"], dtype=object)
         with open_input(partition.path) as f:
-            stream = BlockStream(f, partition.begin)
+            begin, end, searched = partition.begin, partition.end, None
+            if begin < 0:
+                begin = find_record(f, -begin, header, partition.limit)
+            if end is not None and end < 0:
+                end = find_record(f, -end, header, partition.limit)
+                searched = end if end != partition.limit else None
+            if begin is None or begin == end:
+                return
+            stream = BlockStream(f, begin)
             records: list[bytes] = []
-            while partition.end is None or stream.voffset() < partition.end:
+            while end is None or stream.voffset() < end:
                 size = stream.take(4)
                 if size is None:
                     break
@@ -356,6 +464,8 @@ class BamReader(DataSourceReader):
                     yield _batch(records, names, self.sample, self.with_tags)
                     records = []
                     stream.release()
+            if searched is not None and stream.voffset() != searched:
+                raise ValueError(f"{partition.path}: no record begins at virtual offset {end}; use a larger splitBytes")
             if records:
                 yield _batch(records, names, self.sample, self.with_tags)
 

@@ -208,7 +208,7 @@ def key(r):
 COLUMNS = ("qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual")
 
 
-@pytest.mark.parametrize("split", [1, 2000, 1 << 30])
+@pytest.mark.parametrize("split", [600, 4000, 1 << 30])
 def test_bam(spark, bam, split):
     path, reads = bam
     frame = read_bam(spark, path, "normal", split_bytes=split)
@@ -233,7 +233,7 @@ def test_bam_region(spark, bam, region):
     path, reads = bam
     chrom, start, end = region
     stop = lambda r: r["pos"] + sum(n for n, op in brute.operations(r["cigar"]) if op in "MDN=X")
-    rows = read_bam(spark, path, "normal", region=region, split_bytes=1).select(*COLUMNS).collect()
+    rows = read_bam(spark, path, "normal", region=region, split_bytes=600).select(*COLUMNS).collect()
     want = [r for r in reads if r["chrom"] == chrom and (end is None or r["pos"] < end) and (start == 0 or stop(r) > start)]
     assert Counter(map(tuple, rows)) == Counter(map(key, want))
 
@@ -241,11 +241,11 @@ def test_bam_region(spark, bam, region):
 def test_bam_filters_on_one_frame(spark, bam):
     """A filter of one query must not reach the next one on the same DataFrame."""
     path, reads = bam
-    frame = read_bam(spark, path, "normal", split_bytes=1)
+    frame = read_bam(spark, path, "normal", split_bytes=600)
     near = frame.where("chrom = '2' AND pos < 30000")
     assert Counter(r.qname for r in near.collect()) == Counter(r["qname"] for r in reads if r["chrom"] == "2" and r["pos"] < 30000)
     assert frame.count() == len(reads)
-    parts = lambda **options: read_bam(spark, path, "normal", split_bytes=1, **options).rdd.getNumPartitions()
+    parts = lambda **options: read_bam(spark, path, "normal", split_bytes=600, **options).rdd.getNumPartitions()
     assert parts(region=("2", 0, 30000)) < parts() / 2
 
 
@@ -254,3 +254,28 @@ def test_bam_needs_an_index(spark, tmp_path, bam):
     copy.write_bytes(open(bam[0], "rb").read())
     with pytest.raises(Exception, match="has no .bai index"):
         read_bam(spark, str(copy), "normal").count()
+
+
+@pytest.mark.parametrize("split", [700, 3000, 1 << 30])
+def test_bam_deep_position(spark, tmp_path, split):
+    """All reads within one window: the index knows no record inside, yet the file is read by many tasks."""
+    reads = brute.random_reads(800, 50, contigs=("1",), seed=9)
+    for r in reads:
+        r["sample"], r["chrom"] = "normal", "1"
+    path = str(tmp_path / "deep.bam")
+    bam_files.write(path, reads, ["1"], [1000], brute.operations)
+    frame = read_bam(spark, path, "normal", split_bytes=split)
+    assert Counter(map(tuple, frame.select(*COLUMNS).collect())) == Counter(map(key, reads))
+    assert (frame.rdd.getNumPartitions() > 8) == (split < 1 << 30)
+    part = read_bam(spark, path, "normal", region=("1", 20, 30), split_bytes=split)
+    assert part.count() == sum(1 for r in reads if r["pos"] < 30 and r["pos"] + sum(n for n, op in brute.operations(r["cigar"]) if op in "MDN=X") > 20)
+
+
+def test_bam_wrong_border_is_an_error(bam, monkeypatch):
+    from paircall.sources import bam as module
+
+    path, _ = bam
+    _, first = module.read_bam_header(path)
+    monkeypatch.setattr(module, "find_record", lambda *_: first + 7)
+    with pytest.raises(ValueError, match="no record begins"):
+        list(module.BamReader({"path": path}).read(module.BamSplit(path, first, -5000)))
