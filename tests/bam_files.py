@@ -55,7 +55,7 @@ def write(path, reads, contigs, lengths, operations, block_size=300):
     header = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
     for c, n in zip(contigs, lengths):
         header += struct.pack("<i", len(c) + 1) + c.encode() + b"\x00" + struct.pack("<i", n)
-    stream, starts = header, []
+    stream, starts = bytearray(header), []
     for r in reads:
         starts.append(len(stream))
         stream += record(r, contigs, operations(r["cigar"]))
@@ -63,7 +63,7 @@ def write(path, reads, contigs, lengths, operations, block_size=300):
     out, offsets = b"", []
     for i in range(0, len(stream), block_size):
         offsets.append(len(out))
-        out += block(stream[i:i + block_size])
+        out += block(bytes(stream[i:i + block_size]))
     offsets.append(len(out))
     virtual = lambda at: offsets[at // block_size] << 16 | at % block_size
     with open(path, "wb") as f:
