@@ -32,8 +32,8 @@ def _leading_signed(text: Column) -> Column:
     return F.when(_starts_with_digit(text) | text.startswith("-"), number)
 
 
-def parse_alignments(lines: DataFrame, sample: str, column: str = "value") -> DataFrame:
-    """Alignment rows from text lines; header and empty lines are skipped.
+def parse_alignments(lines: DataFrame, sample: str | Column, column: str = "value") -> DataFrame:
+    """Alignment rows from text lines; header and empty lines are skipped. The sample is a name or a column of `lines`.
 
     Positions become 0-based, -1 where there is none. A `*` sequence or quality becomes null, and a read
     without a CIGAR counts as unmapped.
@@ -47,7 +47,7 @@ def parse_alignments(lines: DataFrame, sample: str, column: str = "value") -> Da
     unmapped_bit = F.when(at(5).startswith("*"), flag.bitwiseOR(FLAG_BITS["unmapped"])).otherwise(flag)
     optional = lambda i: F.when(at(i) != "*", at(i))
     parsed = rows.select(
-        F.lit(sample).alias("sample"),
+        (F.lit(sample) if isinstance(sample, str) else sample).alias("sample"),
         at(0).alias("qname"),
         unmapped_bit.alias("flag"),
         at(2).alias("chrom"),

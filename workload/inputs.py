@@ -62,8 +62,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def alignment_lines(spark: SparkSession, sf_dir: str, sample: str) -> DataFrame:
-    """SAM text lines of one sample."""
+def alignment_lines(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
+    """SAM text lines of one sample or of both, with the sample's name beside each."""
     kind = F.col("l_linenumber") - 1
     length = choose(kind, [n for _, n in CIGARS])
     start = lambda column, n: (1 + F.col(column).cast("int") % n).cast("int")
@@ -84,14 +84,15 @@ def alignment_lines(spark: SparkSession, sf_dir: str, sample: str) -> DataFrame:
         F.concat(F.lit("XT:A:"), F.col("l_returnflag")),
         F.concat(F.lit("XF:f:"), F.col("l_linenumber").cast("string"), F.lit(".5")),
     ]
-    mine = items(spark, sf_dir).where(_sample() == sample)
-    return mine.select(F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("value"))
+    chosen = items(spark, sf_dir)
+    if sample:
+        chosen = chosen.where(_sample() == sample)
+    return chosen.select(_sample().alias("sample"), F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("value"))
 
 
 def reads(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
     """Alignment rows of one sample or of both."""
-    parse = lambda s: parse_alignments(alignment_lines(spark, sf_dir, s), s)
-    return parse(sample) if sample else parse("normal").unionByName(parse("tumour"))
+    return parse_alignments(alignment_lines(spark, sf_dir, sample), F.col("sample"))
 
 
 def reference_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
