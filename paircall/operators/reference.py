@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import normalise_bases
+from ..functions.regions import parse_region
 from ..schema import CHUNK
 from .sizing import BROADCAST_ROWS, broadcast_if_small, is_small
 
@@ -42,8 +43,9 @@ def with_reference_base(
     positions and joined on (chrom, pos): that is how sites leave their aggregation, so the sites need
     no further shuffle to it.
     """
-    ends = broadcast_if_small(contig_lengths(chunks).select("chrom", "last_base"))
+    ends = contig_lengths(chunks).select("chrom", "last_base")
     if is_small(chunks, rows):
+        ends = F.broadcast(ends)  # no more contigs than chunks
         lookup = chunks.select("chrom", F.col("chunk_id").alias("_chunk"), "chunk_start", "seq")
         found = sites.withColumn("_chunk", F.floor(F.col("pos") / chunk).cast("int")).join(
             F.broadcast(lookup), ["chrom", "_chunk"], "left"
@@ -52,6 +54,7 @@ def with_reference_base(
         base = F.when(offset <= F.length("seq"), F.upper(F.substring("seq", offset, F.lit(1))))
         found = found.withColumn("ref_base", base).drop("_chunk", "chunk_start", "seq")
     else:
+        ends = broadcast_if_small(ends)
         found = sites.join(reference_positions(chunks), ["chrom", "pos"], "left")
     unknown = F.raise_error(F.concat(F.lit("contig not in the reference: "), F.col("chrom"))).cast("string")
     return (
@@ -92,6 +95,12 @@ def fetch_intervals(intervals: DataFrame, chunks: DataFrame, chunk: int = CHUNK)
     )
 
 
+def fetch_region(chunks: DataFrame, region: str, chunk: int = CHUNK) -> DataFrame:
+    """`fetch_intervals` for one 1-based `chr:beg-end` string."""
+    one = chunks.sparkSession.range(1).select(parse_region(F.lit(region)).alias("r")).select("r.*")
+    return fetch_intervals(one, chunks, chunk)
+
+
 def _joined(column: str) -> Column:
     """The `text` of all structs of a group in the order of `at`."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda p: p["text"]), "")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import parse_flag
 from ..functions.tags import parse_tags
 from ..operators.once import compute_once
+from ..operators.sizing import broadcast_if_small
 from ..schema import ALIGNMENT, FLAG_BITS
 from .files import list_files, open_input
 
@@ -74,7 +75,7 @@ def read_sam(spark: SparkSession, path: str, sample: str, contigs: DataFrame | N
         return rows
     known = contigs.select("chrom", F.lit(True).alias("_known")).dropDuplicates(["chrom"])
     return (
-        rows.join(known, "chrom", "left")
+        rows.join(broadcast_if_small(known), "chrom", "left")
         .withColumn("chrom", F.when(F.col("_known"), F.col("chrom")).otherwise("*"))
         .select(*rows.columns)
     )

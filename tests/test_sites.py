@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from paircall.models import BetaBinomialParams, BinomialParams, score
 from paircall.operators import pileup, positions, ranges, sites
 from paircall.operators.reads import filter_flags
-from paircall.operators.reference import fetch_intervals, with_reference_base
-from paircall.plans import classify, observe, paired_observations
+from paircall.operators.reference import fetch_intervals, fetch_region, with_reference_base
+from paircall.plans import classify, observations, observe, paired_observations
 from paircall.plans.classify import scored_sites
 from paircall.schema import COUNTS, POSTERIORS
 
@@ -168,6 +168,11 @@ def test_fetch_intervals(spark, chunk):
     assert got == {(c, s, e): REFERENCE[c][s:e] for c, s, e in wanted}
 
 
+def test_fetch_region(spark, chunks):
+    for text, want in (("1:11-37", ("1", 10, 37)), ("2:31", ("2", 30, None)), ("2", ("2", 0, None))):
+        assert fetch_region(chunks, text, 16).first().sequence == REFERENCE[want[0]][want[1]:want[2]]
+
+
 def span(read):
     return read["pos"] + sum(n for n, op in brute.operations(read["cigar"]) if op in "MDN=X")
 
@@ -192,7 +197,7 @@ def test_positions(spark, obs, rows):
     assert got == Counter(e for e in brute.pileup(READS) if e[1:3] in {("1", 3), ("2", 50)})
 
 
-def test_classify_at_positions(spark, reads):
+def test_classify_at_positions(spark, reads, monkeypatch):
     reference = brute.random_reference(60)
     chunks = brute.chunks_frame(spark, reference)
     listed = spark.createDataFrame([(c, p) for c in "12" for p in range(0, 60, 3)], "chrom string, position int")
@@ -204,6 +209,10 @@ def test_classify_at_positions(spark, reads):
     assert rows and few.collect() == rows
     late = classify(paired_observations(*halves), chunks, "binomial", all_positions=True, positions=listed)
     assert late.collect() == rows
+    monkeypatch.setattr(observations, "is_small", lambda df: False)
+    monkeypatch.setattr(observations, "at_positions", lambda df, keys: positions.at_positions(df, keys, 0))
+    large = classify(paired_observations(*halves, positions=listed), chunks, "binomial", all_positions=True)
+    assert large.collect() == rows
 
 
 def test_classify_chromosome_must_be_shared(spark, reads):
