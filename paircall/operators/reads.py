@@ -12,6 +12,7 @@ from ..functions.flags import flag_letters, has_bits
 from ..functions.regions import parse_region
 from ..functions.tags import tag_string
 from ..schema import DEFAULT_MASK, FLAG_BITS
+from .once import compute_once
 from .sizing import broadcast_if_small
 
 
@@ -31,7 +32,7 @@ def on_chromosome(df: DataFrame, chrom: str | None) -> DataFrame:
 def with_end(reads: DataFrame) -> DataFrame:
     """Add `end`, the first reference position after the alignment (`pos` + 1 without a CIGAR)."""
     pos, cigar = F.col("pos"), F.col("cigar")
-    return reads.withColumn("end", F.when(cigar == "*", pos + 1).otherwise(cg.reference_end(pos, cigar)))
+    return compute_once(reads, {"end": F.when(cigar == "*", pos + 1).otherwise(cg.reference_end(pos, cigar))})
 
 
 def in_region(reads: DataFrame, chrom: str, start: int = 0, end: int | None = None) -> DataFrame:

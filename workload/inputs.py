@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paircall.operators.once import compute_once
 from paircall.operators.reference import chunk_table
 from paircall.operators.sizing import spread
 from paircall.sources.sam import parse_alignments
@@ -87,7 +88,8 @@ def alignment_lines(spark: SparkSession, sf_dir: str, sample: str | None = None)
     chosen = items(spark, sf_dir)
     if sample:
         chosen = chosen.where(_sample() == sample)
-    return chosen.select(_sample().alias("sample"), F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("value"))
+    line = F.concat_ws("\t", *[f.cast("string") for f in fields])
+    return compute_once(chosen, {"value": line}).select(_sample().alias("sample"), "value")
 
 
 def reads(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
