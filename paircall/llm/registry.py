@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import OP9_SQL, op9_mixing
+from .token_records import op3_token_records
 
 QUERIES = {
+    "op3_token_records": op3_token_records,
     "op9_mixing": op9_mixing,
 }
 
