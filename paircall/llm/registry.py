@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .mixing import OP9_SQL, op9_mixing
+from .topk import OP5_SQL, op5_topk
 from .token_records import op3_token_records
 
 QUERIES = {
+    "op5_topk": op5_topk,
     "op3_token_records": op3_token_records,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE = {
+    "op5_topk": OP5_SQL,
     "op9_mixing": OP9_SQL,
 }
