@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .mixing import OP9_SQL, op9_mixing
+from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
 from .token_records import op3_token_records
 
 QUERIES = {
+    "op7_quality": op7_quality,
     "op5_topk": op5_topk,
     "op3_token_records": op3_token_records,
     "op9_mixing": op9_mixing,
