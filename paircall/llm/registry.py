@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
+from .language import op2_language
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
 from .token_records import op3_token_records
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op4_decontamination": op4_decontamination,
+    "op10_line_dedup": op10_line_dedup,
     "op7_quality": op7_quality,
     "op5_topk": op5_topk,
     "op3_token_records": op3_token_records,
@@ -15,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op10_line_dedup": OP10_SQL,
     "op5_topk": OP5_SQL,
     "op9_mixing": OP9_SQL,
 }
