@@ -8,9 +8,11 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
+from .simhash import op8_simhash
 from .token_records import op3_token_records
 
 QUERIES = {
+    "op8_simhash": op8_simhash,
     "op2_language": op2_language,
     "op4_decontamination": op4_decontamination,
     "op10_line_dedup": op10_line_dedup,
