@@ -33,10 +33,10 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The memo, with all `pieces` in it."""
-        new = list(set(pieces).difference(self.memo))
+        pieces = set(pieces)
+        new = list(pieces.difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(set(pieces))
+            self.memo, new = {}, list(pieces)
         self.memo.update(zip(new, self._encode(new), strict=True))
         return self.memo
 
