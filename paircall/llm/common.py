@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # ASCII white space separates words; everything else belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # For str.translate: A-Z to lower case, the white space that separates words to a plain space.
 FOLD = {ord(a): b for a, b in zip(_UPPER, _LOWER, strict=True)} | {c: " " for c in range(9, 14)}
 
@@ -38,11 +39,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and lost executors cost a re-read only.
 
-    The files stay until the folder is cleaned, like those of checkpoint().
+    The files stay until the folder is cleaned, like those of checkpoint(). The shuffle files of the job are not
+    needed once it has ended and are dropped at once.
     """
-    folder = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

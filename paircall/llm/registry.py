@@ -9,9 +9,11 @@ from .mixing import OP9_SQL, op9_mixing
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
 from .simhash import op8_simhash
+from .suffix_dedup import OP6_SQL, op6_suffix_dedup
 from .token_records import op3_token_records
 
 QUERIES = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op2_language": op2_language,
     "op4_decontamination": op4_decontamination,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_suffix_dedup": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
     "op5_topk": OP5_SQL,
     "op9_mixing": OP9_SQL,
