@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op4_decontamination
 from .language import op2_language
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .lm_scoring import op1_lm_scoring
 from .mixing import OP9_SQL, op9_mixing
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
@@ -13,6 +14,7 @@ from .suffix_dedup import OP6_SQL, op6_suffix_dedup
 from .token_records import op3_token_records
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op2_language": op2_language,
