@@ -54,3 +54,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def row_of(columns: list[str]) -> Column:
+    """The columns as one structure `row`, so that their names cannot clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in columns)).alias("row")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import row_of, text_or_empty
 
 EDITS = 20  # characters per allowed edit
 GROUP = 8_000_000
@@ -131,7 +131,7 @@ def item_groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def find(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per document row and item: `row` (a struct of `columns`, by default doc_id), item_id, distance, start, end."""
-    rows = docs.select(F.struct(*(columns or ["doc_id"])).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(row_of(columns or ["doc_id"]), text_or_empty().alias("text"))
     shape = rows.select("row").schema
     shape = shape.add("item_id", "long").add("distance", "integer").add("start", "integer").add("end", "integer")
     found = None

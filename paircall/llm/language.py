@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import row_of, stored, text_or_empty
 
 WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
 FLUSH = 400_000  # counters a task holds
@@ -135,7 +135,7 @@ class Memo(dict):
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """One row per document: `row` (a struct of `columns`, by default doc_id), lang_pred and score."""
-    rows = docs.select(F.struct(*(columns or ["doc_id"])).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(row_of(columns or ["doc_id"]), text_or_empty().alias("text"))
     shape = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import stored
+from .common import row_of, stored
 
 LINES = 3
 _KEY = ("doc_id", "digest")
@@ -59,7 +59,7 @@ def deduplicate(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     `kept` is the text that remains, `spans` are the removed runs of lines (first, last).
     """
-    rows = docs.select(F.struct(*(columns or ["doc_id"])).alias("row"), "doc_id", "text", F.md5("text").alias("digest"))
+    rows = docs.select(row_of(columns or ["doc_id"]), "doc_id", "text", F.md5("text").alias("digest"))
     found = repeated(docs).withColumnsRenamed({"doc_id": "found_id", "digest": "found_digest"})
     same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("digest") == F.col("found_digest"))
     rows = rows.join(found, same, "left").select("row", "text", "lines")

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import WORD, row_of, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 
@@ -64,15 +64,14 @@ def mix(
     spark = docs.sparkSession
     columns = docs.columns if columns is None else columns
     sized = docs.select(
-        F.struct(*columns).alias("row"),
+        row_of(columns),
         "source",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("skey"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
     )
-    light = stored(sized if "text" not in columns else sized.drop("row"), "sizes")
-    if "text" not in columns:
-        sized = light
+    # Sums and finish times need no text, so the sizes are stored without what is carried.
+    light = stored(sized.drop("row") if "text" in columns else sized, "sizes")
     parts = max(1, math.isqrt(light.count()))
     # The first 32 bits of the digest place a document in the shuffled order; the whole digest sorts inside a bucket.
     bucket = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * parts, 32)
@@ -90,10 +89,10 @@ def mix(
         done = F.col("before") + F.sum("size").over(inside)
         return rows.drop("source").withColumn("bucket", bucket).join(starts, ["skey", "bucket"]).withColumn("done", done)
 
-    light = stored(timed(light).select("skey", "h", "size", "done", "source_size", "target"), "timed") if sized is not light else None
-    rows = timed(sized) if light is not None else stored(timed(sized), "timed")
+    times_of = stored(timed(light), "timed")
+    rows = timed(sized) if "text" in columns else times_of
     times = [(F.col("done") + F.col("source_size") * k) / F.col("target") for k in range(passes)]
-    entries = (light if light is not None else rows).where("target > 0").select("skey", "h", "size", F.posexplode(F.array(*times)).alias("pass", "time"))
+    entries = times_of.where("target > 0").select("skey", "h", "size", F.posexplode(F.array(*times)).alias("pass", "time"))
     slot = F.least(F.floor(F.col("time") * parts), F.lit(2 * parts)).cast("long")
     last = _last_taken(entries.withColumn("slot", slot), aims)
     if last is None:
@@ -105,6 +104,12 @@ def mix(
     return rows.select("row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def repeated(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: each document as often as it is taken."""
+    found = mix(docs, **settings)
+    return found.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+
+
 def _last_taken(entries: DataFrame, aims: DataFrame):
     """The last entry within the budget, in order of time; None if all are. Bounded: one row per slot, then one slot."""
     budget = aims.agg(F.sum("target")).first()[0] or 0.0

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import row_of, text_or_empty
 
 ROWS, DIM, REACH = 2048, 32, 2
 SAMPLE = 20_000
@@ -184,7 +184,7 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, columns: list[
     """One row per document: `row` (a struct of `columns`, by default doc_id) and `score`."""
     columns = ["doc_id"] if columns is None else columns
     # One structure for all other columns: their names cannot clash with the text's.
-    rows = docs.select(F.struct(*columns).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(row_of(columns), text_or_empty().alias("text"))
     shape = rows.select("row").schema
 
     def task(batches):

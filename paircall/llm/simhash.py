@@ -29,10 +29,10 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, words
+from .common import row_of, stored, text_or_empty, words
 from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, SEED = 4, 4, 5, 42
@@ -65,7 +65,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, columns: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: `row` (a struct of `columns`, by default doc_id) and fp, the fingerprint as a signed long."""
-    rows = docs.select(F.struct(*(columns or ["doc_id"])).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(row_of(columns or ["doc_id"]), text_or_empty().alias("text"))
 
     def task(batches):
         import pyarrow as pa
@@ -200,7 +200,10 @@ def links(points: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) ->
 
 
 def near_duplicates(docs: DataFrame, columns: list[str] | None = None, radius: int = RADIUS, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: `row` (a struct of `columns`, by default doc_id), fp and component_id."""
+    """One row per document: `row` (a struct of `columns`, by default all), fp, root and component_id.
+
+    `root` is a fingerprint that names the component, also where no document has a doc_id.
+    """
     columns = docs.columns if columns is None else columns
     named = fingerprints(docs, ["doc_id"], shingle).select(F.col("row.doc_id").alias("doc_id"), "fp")
     prints = stored(named, "prints")
@@ -209,10 +212,18 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, radius: i
     # A component's root is a fingerprint; its name is the smallest doc_id of all its fingerprints.
     rooted = stored(points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     names = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
-    classes = stored(rooted.join(names, "root").select("fp", "component_id"), "classes")
+    classes = stored(rooted.join(names, "root").select("fp", "root", "component_id"), "classes")
     if columns == ["doc_id"]:
-        return prints.join(classes, "fp").select(F.struct("doc_id").alias("row"), "fp", "component_id")
-    return fingerprints(docs, columns, shingle).join(classes, "fp").select("row", "fp", "component_id")
+        return prints.join(classes, "fp").select(F.struct("doc_id").alias("row"), "fp", "root", "component_id")
+    return fingerprints(docs, columns, shingle).join(classes, "fp").select("row", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """One document of each component: the smallest doc_id, of rows that share it the one with the least hash of its text."""
+    found = near_duplicates(docs, **settings).where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    # Only rows that share a doc_id meet in a window, or those of a component without any doc_id.
+    order = Window.partitionBy("root").orderBy(F.xxhash64("row.text"))
+    return found.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

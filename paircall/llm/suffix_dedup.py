@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import stored, text_or_empty
+from .common import row_of, stored, text_or_empty
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1  # grams in a string
@@ -400,7 +400,7 @@ def deduplicate(docs: DataFrame, columns: list[str] | None = None, digest: bool
     `kept` holds the bytes that remain (`digest`: their SHA-256 in hex), `spans` the removed runs as (first, end).
     """
     base = docs.select(
-        F.struct(*(columns or ["doc_id"])).alias("row"), "doc_id", F.xxhash64("doc_id", text_or_empty()).alias("uid"),
+        row_of(columns or ["doc_id"]), "doc_id", F.xxhash64("doc_id", text_or_empty()).alias("uid"),
         text_or_empty().cast("binary").alias("data"),
     )
     size = base.agg(F.sum(F.octet_length("data"))).first()[0] or 0
