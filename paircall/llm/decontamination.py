@@ -163,18 +163,19 @@ def _task(items: list[tuple[int, str]]):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found; each row is judged by its own text."""
+    rows = docs.select(row_of(docs.columns), text_or_empty().alias("text"))
     for some in item_groups(benchmark):
-        docs = docs.mapInArrow(_keep(some, docs.columns.index("text")), docs.schema)
-    return docs
+        rows = rows.mapInArrow(_keep(some), rows.schema)
+    return rows.select("row.*")
 
 
-def _keep(items: list[tuple[int, str]], text: int):
+def _keep(items: list[tuple[int, str]]):
     def task(batches):
         import pyarrow as pa
 
         finder = Finder(items)
         for batch in batches:
-            yield batch.filter(pa.array([not finder.matches(t or "") for t in batch.column(text).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not finder.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return task
 
