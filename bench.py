@@ -17,7 +17,7 @@ HEADLINE = (
     "sam_scan", "pileup_expand", "coverage_depth", "joint_counts", "quality_histogram", "reference_lookup",
     "positions_semi", "region_overlap", "region_reads",
     "score_binomial", "score_beta_binomial", "score_quality", "somatic_calls", "classify_reads",
-    "systematic_sample", "ess_binomial", "ess_quality", "em_binomial_2iter", "em_beta_binomial_2iter", "em_quality_2iter",
+    "systematic_sample", "ess_binomial", "ess_quality", "train_binomial", "train_beta_binomial", "train_quality",
 )
 
 

@@ -21,5 +21,5 @@ _TO = "".join(_normal_form(c) for c in _FROM)
 
 
 def normalise_bases(seq: Column) -> Column:
-    """Upper-case IUPAC letters; digits 0-3 are A, C, G, T and anything unknown is N."""
-    return F.translate(seq, _FROM, _TO)
+    """Upper-case IUPAC letters; digits 0-3 are A, C, G, T and any other character, of whatever script, is N."""
+    return F.regexp_replace(F.translate(seq, _FROM, _TO), f"[^{BASE_CODES}]", "N")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import OPEN_END
-
 _SUFFIX = "^(.*):([0-9,]*)(?:(-)([0-9,]*))?$"
 
 
@@ -18,7 +16,7 @@ def _number(text: Column) -> Column:
 def parse_region(text: Column) -> Column:
     """`chr:beg-end` (1-based, commas allowed) to a half-open 0-based struct `(chrom, start, end)`.
 
-    Without an end the region reaches to the end of the contig; a malformed interval is part of the name.
+    A region without an end reaches to the end of the contig: its `end` is null. A malformed interval is part of the name.
     """
     compact = F.regexp_replace(text, "\\s+", "")
     part = lambda group: F.regexp_extract(compact, _SUFFIX, group)
@@ -27,7 +25,7 @@ def parse_region(text: Column) -> Column:
     return F.struct(
         F.when(has_interval, part(1)).otherwise(compact).alias("chrom"),
         F.when(has_interval, F.greatest(begin - 1, F.lit(0))).otherwise(0).cast("long").alias("start"),
-        F.when(has_interval & (part(3) == "-"), _number(part(4))).otherwise(OPEN_END).cast("long").alias("end"),
+        F.when(has_interval & (part(3) == "-"), _number(part(4))).cast("long").alias("end"),
     )
 
 

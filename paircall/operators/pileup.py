@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import normalise_bases
 from ..functions.cigar import ONE_MATCH, parse_cigar, reference_end
 from ..functions.quality import decode_quality
-from ..schema import BASE_CODES, DEFAULT_DEPTH_CAP
+from ..schema import BASE_CODES
 
 _MATCH = ("M", "=", "X")
 _GAP = ("D", "N")
@@ -163,7 +163,7 @@ def multi_sample(obs: DataFrame, samples: list[str]) -> DataFrame:
     return obs.where(F.col("sample").isin(*samples)).groupBy("chrom", "pos").agg(*depths)
 
 
-def cap_depth(obs: DataFrame, cap: int = DEFAULT_DEPTH_CAP, order: tuple[str, ...] = ("read_start", "qname"), salts: int = 64) -> DataFrame:
+def cap_depth(obs: DataFrame, cap: int, order: tuple[str, ...] = ("read_start", "qname"), salts: int = 64) -> DataFrame:
     """Keep the first `cap` entries, by `order`, of each sample and position.
 
     A position may hold far more than one task can sort: entries are ranked first within salted
@@ -173,7 +173,9 @@ def cap_depth(obs: DataFrame, cap: int = DEFAULT_DEPTH_CAP, order: tuple[str, ..
     if not set(order) <= set(obs.columns):
         raise ValueError(f"cap_depth needs the columns {order}; expand reads with annotate=True")
     by = [F.col(c) for c in order]
-    part = F.pmod(F.xxhash64(*by), F.lit(salts))
+    # The whole row decides on the part, so that entries with equal order columns spread as well.
+    kinds = dict(obs.dtypes)
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in obs.columns if not kinds[c].startswith("map")]), F.lit(salts))
     within = Window.partitionBy("sample", "chrom", "pos", "_part").orderBy(*by)
     overall = Window.partitionBy("sample", "chrom", "pos").orderBy(*by)
     return (

@@ -1,4 +1,7 @@
-"""Reference bases from a chunk table `chrom, chunk_id, chunk_start, seq`."""
+"""Reference bases from a chunk table `chrom, chunk_id, chunk_start, seq, width`.
+
+The width of the chunks travels with the table, so that every lookup divides by the right one.
+"""
 
 from __future__ import annotations
 
@@ -8,79 +11,64 @@ from pyspark.sql import functions as F
 from ..functions.bases import normalise_bases
 from ..functions.regions import parse_region
 from ..schema import CHUNK
-from .sizing import BROADCAST_ROWS, broadcast_if_small, is_small
+from .sizing import broadcast_if_small
 
 # Chunks that are gathered at once when an interval is put together.
 _GATHER = 1024
 
 
 def contig_lengths(chunks: DataFrame) -> DataFrame:
-    """`chrom, length, last_base` of every contig in the chunk table."""
+    """`chrom, length, last_base, width` of every contig in the chunk table."""
     end = F.col("chunk_start").cast("long") + F.length("seq")
     last = F.max(end * 128 + F.ascii(F.upper(F.right("seq", F.lit(1)))))
-    return chunks.groupBy("chrom").agg(last.alias("_last")).select(
-        "chrom", F.shiftright("_last", 7).alias("length"), F.char(F.col("_last") % 128).alias("last_base")
+    return chunks.groupBy("chrom").agg(last.alias("_last"), F.max("width").alias("width")).select(
+        "chrom", F.shiftright("_last", 7).alias("length"), F.char(F.col("_last") % 128).alias("last_base"), "width"
     )
 
 
-def reference_positions(chunks: DataFrame) -> DataFrame:
-    """One row per reference position: `chrom, pos, ref_base`."""
-    raw = chunks.select("chrom", "chunk_start", F.upper("seq").cast("binary").alias("seq"))
-    spread = raw.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)))
-    return spread.select(
-        "chrom",
-        (F.col("chunk_start") + F.col("i")).alias("pos"),
-        F.substring("seq", F.col("i") + 1, F.lit(1)).cast("string").alias("ref_base"),
-    )
+def _lookup(chunks: DataFrame, *renamed: Column) -> DataFrame:
+    """Chunk rows as a join needs them; fails where a chunk does not begin at its number times the width."""
+    sound = F.col("chunk_start") == F.col("chunk_id").cast("long") * F.col("width")
+    broken = F.raise_error(F.concat(F.lit("chunk table with another width: "), "chrom", F.lit(" "), F.col("chunk_start").cast("string")))
+    return chunks.select("chrom", *renamed, "chunk_start", F.when(sound, F.col("seq")).otherwise(broken.cast("string")).alias("_seq"))
 
 
-def with_reference_base(
-    sites: DataFrame, chunks: DataFrame, chunk: int = CHUNK, rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def with_reference_base(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add the upper-case `ref_base`; past the end of a contig its last base, for an unknown contig an error.
 
-    A small chunk table is broadcast and looked up by (chrom, chunk). A large one is spread to
-    positions and joined on (chrom, pos): that is how sites leave their aggregation, so the sites need
-    no further shuffle to it.
+    Sites meet the chunk that holds them, whose number follows from the width the table carries. No base is spread to
+    a row of its own, and how the join runs (a small table is broadcast) is left to Spark: there is one way to look up.
     """
-    ends = contig_lengths(chunks).select("chrom", "last_base")
-    if is_small(chunks, rows):
-        ends = F.broadcast(ends)  # no more contigs than chunks
-        lookup = chunks.select("chrom", F.col("chunk_id").alias("_chunk"), "chunk_start", "seq")
-        found = sites.withColumn("_chunk", F.floor(F.col("pos") / chunk).cast("int")).join(
-            F.broadcast(lookup), ["chrom", "_chunk"], "left"
-        )
-        offset = F.col("pos") - F.col("chunk_start") + 1
-        base = F.when(offset <= F.length("seq"), F.upper(F.substring("seq", offset, F.lit(1))))
-        found = found.withColumn("ref_base", base).drop("_chunk", "chunk_start", "seq")
-    else:
-        ends = broadcast_if_small(ends)
-        found = sites.join(reference_positions(chunks), ["chrom", "pos"], "left")
+    ends = broadcast_if_small(contig_lengths(chunks).select("chrom", "last_base", "width"))
     unknown = F.raise_error(F.concat(F.lit("contig not in the reference: "), F.col("chrom"))).cast("string")
-    return (
-        found.join(ends, "chrom", "left")
-        .withColumn("ref_base", F.coalesce("ref_base", "last_base", unknown))
-        .drop("last_base")
-    )
+    placed = sites.join(ends, "chrom", "left").withColumn("_chunk", F.floor(F.col("pos") / F.col("width")).cast("int"))
+    found = placed.join(_lookup(chunks, F.col("chunk_id").alias("_chunk")), ["chrom", "_chunk"], "left")
+    offset = F.col("pos") - F.col("chunk_start") + 1
+    base = F.when(offset <= F.length("_seq"), F.upper(F.substring("_seq", offset.cast("int"), F.lit(1))))
+    return found.withColumn("ref_base", F.coalesce(base, "last_base", unknown)).select(*sites.columns, "ref_base")
 
 
-def fetch_intervals(intervals: DataFrame, chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add `sequence`, the reference over [start, end) clipped to the contig, to each distinct interval row."""
-    keys = intervals.columns
-    lengths = broadcast_if_small(contig_lengths(chunks).select("chrom", "length"))
-    clipped = (
-        intervals.dropDuplicates()
-        .join(lengths, "chrom")
-        .withColumn("_end", F.least(F.col("end"), F.col("length")).cast("int"))
-        .withColumn("_start", F.least(F.greatest("start", F.lit(0)), F.col("_end")).cast("int"))
+def fetch_intervals(intervals: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add `sequence`, the reference over [start, end) clipped to the contig, to every interval row.
+
+    A null `end` reaches to the end of the contig. Equal intervals are put together once and all get it; an unknown
+    contig is an error.
+    """
+    lengths = broadcast_if_small(contig_lengths(chunks).select("chrom", "length", "width"))
+    unknown = F.raise_error(F.concat(F.lit("contig not in the reference: "), F.col("chrom"))).cast("int")
+    limit = F.coalesce("length", unknown)
+    clipped = intervals.join(lengths, "chrom", "left").select(
+        *intervals.columns,
+        "width",
+        F.least(F.greatest(F.coalesce("end", limit), F.lit(0)), limit).cast("int").alias("_end"),
+        F.least(F.greatest("start", F.lit(0)), F.coalesce("end", limit), limit).cast("int").alias("_start"),
     )
+    clipped = clipped.withColumn("_start", F.greatest("_start", F.lit(0)))
+    keys = ["chrom", "_start", "_end"]
     last = F.greatest(F.col("_end") - 1, F.col("_start"))
-    spread = clipped.withColumn(
-        "chunk_id",
-        F.explode(F.sequence(F.floor(F.col("_start") / chunk).cast("int"), F.floor(last / chunk).cast("int"))),
-    )
-    table = chunks.select("chrom", "chunk_id", "chunk_start", F.col("seq").alias("_seq"))
-    pieces = spread.join(table, ["chrom", "chunk_id"], "left")
+    number = lambda at: F.floor(at / F.col("width")).cast("int")
+    spread = clipped.select(*keys, "width").distinct().withColumn("chunk_id", F.explode(F.sequence(number(F.col("_start")), number(last))))
+    pieces = spread.join(_lookup(chunks, F.col("chunk_id")), ["chrom", "chunk_id"], "left")
     first = F.greatest(F.col("_start"), F.col("chunk_start"))
     until = F.least(F.col("_end"), F.col("chunk_start") + F.length("_seq"))
     part = F.when(until > first, F.substring("_seq", first - F.col("chunk_start") + 1, until - first)).otherwise("")
@@ -88,17 +76,18 @@ def fetch_intervals(intervals: DataFrame, chunks: DataFrame, chunk: int = CHUNK)
     block = F.floor(F.col("chunk_id") / _GATHER).cast("int")
     parts = pieces.select(*keys, block.alias("_block"), F.struct(F.col("chunk_id").alias("at"), part.alias("text")).alias("_p"))
     blocks = parts.groupBy(*keys, "_block").agg(_joined("_p").alias("text"))
-    return (
+    whole = (
         blocks.select(*keys, F.struct(F.col("_block").alias("at"), "text").alias("_p"))
         .groupBy(*keys)
         .agg(_joined("_p").alias("sequence"))
     )
+    return clipped.join(whole, keys).select(*intervals.columns, "sequence")
 
 
-def fetch_region(chunks: DataFrame, region: str, chunk: int = CHUNK) -> DataFrame:
+def fetch_region(chunks: DataFrame, region: str) -> DataFrame:
     """`fetch_intervals` for one 1-based `chr:beg-end` string."""
     one = chunks.sparkSession.range(1).select(parse_region(F.lit(region)).alias("r")).select("r.*")
-    return fetch_intervals(one, chunks, chunk)
+    return fetch_intervals(one, chunks)
 
 
 def _joined(column: str) -> Column:
@@ -116,5 +105,5 @@ def chunk_table(bases: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return (
         pieces.groupBy("chrom", "chunk_id")
         .agg(F.min("b.at").alias("chunk_start"), _joined("b").alias("seq"))
-        .select("chrom", "chunk_id", "chunk_start", normalise_bases(F.col("seq")).alias("seq"))
+        .select("chrom", "chunk_id", "chunk_start", normalise_bases(F.col("seq")).alias("seq"), F.lit(chunk).alias("width"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.likelihood import read_likelihood
 from ..functions.quality import mismatch_prob, phred_prob
-from ..schema import COUNTS, GENOTYPES, NORMAL, NUCLEOTIDES, SAMPLES, SUFFIX, TUMOUR
+from ..schema import BASE_CODES, COUNTS, GENOTYPES, NORMAL, NUCLEOTIDES, SAMPLES, SUFFIX, TUMOUR
 from .once import compute_once
 from .pileup import passes
 from .reference import with_reference_base
@@ -30,8 +30,8 @@ def variant_base(ref: Column, totals: dict[str, Column]) -> Column:
 def pick(base: Column, columns: dict[str, Column], default: Column) -> Column:
     """The column that belongs to `base`."""
     result = None
-    for letter in NUCLEOTIDES:
-        result = (F if result is None else result).when(base == letter, columns[letter])
+    for letter, column in columns.items():
+        result = (F if result is None else result).when(base == letter, column)
     return result.otherwise(default)
 
 
@@ -84,9 +84,32 @@ def _gather(rows: DataFrame, *extra: Column) -> DataFrame:
 def joint_counts(
     obs: DataFrame, reference: DataFrame | None = None, min_bq: int = 0, min_mq: int = 0
 ) -> DataFrame:
-    """`chrom, pos, ref_base, var_base, a_N, b_N, a_T, b_T` of every position that both samples cover."""
-    rows = _with_reference(_per_base(obs, min_bq, min_mq), reference)
-    return _gather(rows).select("chrom", "pos", "ref_base", "var_base", *COUNTS)
+    """`chrom, pos, ref_base, var_base, a_N, b_N, a_T, b_T` of every position that both samples cover.
+
+    One aggregation by position: each base letter has its own conditional sum, which combines map-side also at a deep
+    position. Which sum is the reference's is known at once where the observations carry it, else after the lookup.
+    """
+    counts = passes(min_bq, min_mq)
+    given = "ref_base" in obs.columns
+    letters = NUCLEOTIDES if given else tuple(BASE_CODES)
+    sums = []
+    for s in SAMPLES:
+        mine, n = _is(s), SUFFIX[s]
+        sums.append(F.count_if(mine).alias(f"_cover_{n}"))
+        sums += [F.count_if(mine & counts & (F.col("base") == b)).alias(f"_{b}_{n}") for b in letters]
+        if given:
+            sums.append(F.count_if(mine & counts & (F.col("base") == F.col("ref_base"))).alias(f"a_{n}"))
+    sites = obs.groupBy(*_keys(obs)).agg(*sums).where("_cover_N > 0 AND _cover_T > 0")
+    zero = F.lit(0).cast("long")
+    if not given:
+        sites = _with_reference(sites, reference).withColumns({
+            f"a_{n}": pick(F.col("ref_base"), {b: F.col(f"`_{b}_{n}`") for b in letters}, zero) for n in "NT"
+        })
+    totals = {b: F.col(f"_{b}_N") + F.col(f"_{b}_T") for b in NUCLEOTIDES}
+    sites = compute_once(sites, {"var_base": variant_base(F.col("ref_base"), totals)})
+    return sites.withColumns({
+        f"b_{n}": pick(F.col("var_base"), {b: F.col(f"_{b}_{n}") for b in NUCLEOTIDES}, zero) for n in "NT"
+    }).select("chrom", "pos", "ref_base", "var_base", *COUNTS)
 
 
 def pair_counts(normal: DataFrame, tumour: DataFrame) -> DataFrame:

@@ -48,7 +48,6 @@ FLAG_LETTERS = {
     "duplicate": "d",
 }
 DEFAULT_MASK = 1796
-DEFAULT_DEPTH_CAP = 8000
 
 RESULT_COLUMNS = (
     "chrom", "position", "ref_base", "var_base",
@@ -63,9 +62,7 @@ SITE = ("chrom", "pos")
 COUNTS = ("a_N", "b_N", "a_T", "b_T")
 POSTERIORS = tuple(f"p_{g}" for g in JOINT_GENOTYPES)
 
-# Half-open coordinates above this value mean "to the end of the contig".
-OPEN_END = 1 << 29
-# Positions per reference chunk row, and per bin in binned range joins (a power of two).
+# Positions per reference chunk row unless a table says otherwise, and per bin in binned range joins (a power of two).
 CHUNK = 128
 BIN_SHIFT = 14
 
@@ -90,6 +87,7 @@ CHUNK_TABLE = T.StructType([
     T.StructField("chunk_id", T.IntegerType()),
     T.StructField("chunk_start", T.IntegerType()),
     T.StructField("seq", T.StringType()),
+    T.StructField("width", T.IntegerType()),
 ])
 
 COUNT_TABLE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])

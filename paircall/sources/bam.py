@@ -38,6 +38,7 @@ TAG_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f":
 SPLIT_BYTES = 32 << 20
 MIN_PART_BYTES = 512
 BATCH_ROWS = 8192
+BATCH_BYTES = 32 << 20  # of records that are decoded at once, whatever their number
 
 
 @dataclass
@@ -327,6 +328,12 @@ def _cigar(record: bytes, at: int, count: int) -> str:
     return "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in struct.unpack_from(f"<{count}I", record, at))
 
 
+def _number(value: float, kind: str) -> str:
+    """Shortest text that reads back to the same float."""
+    text = str(np.float32(value)) if kind == "f" else repr(float(value))
+    return text.removesuffix(".0")
+
+
 def _tags(record: bytes, at: int) -> list[tuple[str, str]]:
     """Tags as (key, `TYPE:VALUE`); of a repeated key the first."""
     out: dict[str, str] = {}
@@ -342,11 +349,11 @@ def _tags(record: bytes, at: int) -> list[tuple[str, str]]:
             code, count = chr(record[at]), struct.unpack_from("<i", record, at + 1)[0]
             layout = f"<{count}{TAG_NUMBERS[code]}"
             numbers = struct.unpack_from(layout, record, at + 5)
-            value, at = "B:" + ",".join([code, *(f"{x:g}" if code == "f" else str(x) for x in numbers)]), at + 5 + struct.calcsize(layout)
+            value, at = "B:" + ",".join([code, *(_number(x, code) if code == "f" else str(x) for x in numbers)]), at + 5 + struct.calcsize(layout)
         elif kind in TAG_NUMBERS:
             layout = "<" + TAG_NUMBERS[kind]
             number, at = struct.unpack_from(layout, record, at)[0], at + struct.calcsize(layout)
-            value = f"{kind}:{number:g}" if kind in "fd" else f"i:{number}"
+            value = f"{kind}:{_number(number, kind)}" if kind in "fd" else f"i:{number}"
         else:
             raise ValueError(f"unknown tag type {kind!r}")
         out.setdefault(key, value)
@@ -418,7 +425,7 @@ class BamReader(DataSourceReader):
             return None
         header, _ = read_bam_header(path)
         if self.chrom not in header.names:
-            return []
+            raise ValueError(f"unknown contig: {self.chrom} is not in {path}")
         entry = read_index(index_path(path))[0][header.names.index(self.chrom)]
         if entry.begin is None:
             return []
@@ -455,14 +462,16 @@ class BamReader(DataSourceReader):
                 return
             stream = BlockStream(f, begin)
             records: list[bytes] = []
+            held = 0
             while end is None or stream.voffset() < end:
                 size = stream.take(4)
                 if size is None:
                     break
                 records.append(stream.take(struct.unpack("<i", size)[0]))
-                if len(records) >= BATCH_ROWS:
+                held += len(records[-1])
+                if len(records) >= BATCH_ROWS or held >= BATCH_BYTES:
                     yield _batch(records, names, self.sample, self.with_tags)
-                    records = []
+                    records, held = [], 0
                     stream.release()
             if searched is not None and stream.voffset() != searched:
                 raise ValueError(f"{partition.path}: no record begins at virtual offset {end}; use a larger splitBytes")
@@ -493,10 +502,10 @@ def read_bam(
     path: str,
     sample: str,
     region: tuple[str, int, int | None] | None = None,
-    tags: bool = False,
+    tags: bool = True,
     split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
-    """Alignment rows of indexed BAM files. Tags cost time per read and are left null unless asked for.
+    """Alignment rows of indexed BAM files. Tags cost time per read; `tags=False` leaves them null.
 
     With a region `(chrom, start, end)` only the parts of the files that the index names are read, and
     the reads that overlap the region come back whole.

@@ -1,4 +1,4 @@
-"""FASTA to a chunk table `chrom, chunk_id, chunk_start, seq`.
+"""FASTA to a chunk table `chrom, chunk_id, chunk_start, seq, width`.
 
 A file is cut into pieces of some megabytes, each with its byte range and the contig position it starts
 at, and every piece is read by its own task. With a `.fai` index the pieces follow from arithmetic on
@@ -141,7 +141,7 @@ def _sequence(f, start: int, bases: int) -> bytes:
     return b"".join(out)
 
 
-def _piece_chunks(f, piece, chunk: int) -> Iterator[tuple[str, int, int, str]]:
+def _piece_chunks(f, piece, chunk: int) -> Iterator[tuple[str, int, int, str, int]]:
     """Chunks that begin in the piece; the last one is completed from the bytes behind it."""
     skip = -piece.first % chunk
     if skip >= piece.bases:
@@ -151,7 +151,7 @@ def _piece_chunks(f, piece, chunk: int) -> Iterator[tuple[str, int, int, str]]:
     first = piece.first + skip
     for i in range(0, len(letters), chunk):
         at = first + i
-        yield piece.chrom, at // chunk, at, letters[i:i + chunk].decode("ascii")
+        yield piece.chrom, at // chunk, at, letters[i:i + chunk].decode("ascii"), chunk
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK, piece_bytes: int = PIECE_BYTES) -> DataFrame:

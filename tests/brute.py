@@ -167,9 +167,9 @@ def reads_frame(spark, reads):
 def chunks_frame(spark, reference, chunk=128):
     """Chunk table of {contig: sequence}."""
     rows = [
-        (name, i // chunk, i, seq[i:i + chunk]) for name, seq in reference.items() for i in range(0, len(seq), chunk)
+        (name, i // chunk, i, seq[i:i + chunk], chunk) for name, seq in reference.items() for i in range(0, len(seq), chunk)
     ]
-    return spark.createDataFrame(rows, "chrom string, chunk_id int, chunk_start int, seq string")
+    return spark.createDataFrame(rows, "chrom string, chunk_id int, chunk_start int, seq string, width int")
 
 
 def random_reference(length, contigs=("1", "2"), seed=3):

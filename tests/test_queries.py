@@ -5,7 +5,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-FEW = ("flag_filter", "pileup_indels", "joint_counts", "score_quality", "systematic_sample", "region_reads", "em_binomial_2iter", "classify_reads")
+FEW = ("flag_filter", "pileup_indels", "joint_counts", "score_quality", "systematic_sample", "region_reads", "train_binomial", "classify_reads")
 
 
 @pytest.fixture(scope="module")

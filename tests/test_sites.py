@@ -79,19 +79,16 @@ def test_missing_sequence(spark):
 
 
 @pytest.mark.parametrize("min_bq,min_mq", [(0, 0), (10, 20), (41, 60)])
-@pytest.mark.parametrize("rows", [200_000, 0])
-def test_joint_counts(obs, chunks, min_bq, min_mq, rows, monkeypatch):
-    """Both ways to the reference base: broadcast chunks, and a shuffle of positions."""
-    lookup = lambda df, ref: with_reference_base(df, ref, 16, rows)
-    monkeypatch.setattr(sites, "with_reference_base", lookup)
+@pytest.mark.parametrize("width", [16, 128])
+def test_joint_counts(spark, obs, min_bq, min_mq, width):
+    chunks = brute.chunks_frame(spark, REFERENCE, width)
     got = {(r.chrom, r.pos): (r.ref_base, r.var_base, tuple(r[c] for c in COUNTS)) for r in sites.joint_counts(obs, chunks, min_bq, min_mq).collect()}
     want = {k: v[:3] for k, v in brute.joint(brute.pileup(READS), REFERENCE, min_bq, min_mq).items()}
     assert got == want
 
 
 @pytest.mark.parametrize("min_bq,min_mq", [(0, 0), (10, 20)])
-def test_joint_qualities(obs, chunks, min_bq, min_mq, monkeypatch):
-    monkeypatch.setattr(sites, "with_reference_base", lambda df, ref: with_reference_base(df, ref, 16))
+def test_joint_qualities(obs, chunks, min_bq, min_mq):
     want = brute.joint(brute.pileup(READS), REFERENCE, min_bq, min_mq)
     rows = sites.joint_qualities(obs, chunks, min_bq, min_mq).collect()
     assert len(rows) == len(want)
@@ -106,8 +103,7 @@ def test_joint_qualities(obs, chunks, min_bq, min_mq, monkeypatch):
 
 
 @pytest.mark.parametrize("model", ["binomial", "beta_binomial", "quality"])
-def test_scored_sites(obs, chunks, model, monkeypatch):
-    monkeypatch.setattr(sites, "with_reference_base", lambda df, ref: with_reference_base(df, ref, 16))
+def test_scored_sites(obs, chunks, model):
     params = (BetaBinomialParams if model == "beta_binomial" else BinomialParams)()
     want = brute.joint(brute.pileup(READS), REFERENCE, 3, 0)
     rows = scored_sites(obs, chunks, model, min_bq=3, all_positions=True).collect()
@@ -120,8 +116,7 @@ def test_scored_sites(obs, chunks, model, monkeypatch):
     assert variant.count() == sum(1 for v in want.values() if v[2][3] > 0)
 
 
-def test_quality_arrays_agree_with_sums(obs, chunks, monkeypatch):
-    monkeypatch.setattr(sites, "with_reference_base", lambda df, ref: with_reference_base(df, ref, 16))
+def test_quality_arrays_agree_with_sums(obs, chunks):
     by_arrays = score(sites.joint_qualities(obs, chunks), model="quality")
     by_sums = scored_sites(obs, chunks, "quality", all_positions=True)
     key = lambda df: {(r.chrom, r.pos): [r[p] for p in POSTERIORS] for r in df.collect()}
@@ -132,7 +127,6 @@ def test_quality_arrays_agree_with_sums(obs, chunks, monkeypatch):
 
 
 def test_partitioning_and_order_do_not_matter(obs, chunks, monkeypatch):
-    monkeypatch.setattr(sites, "with_reference_base", lambda df, ref: with_reference_base(df, ref, 16))
     once = Counter(collect(sites.joint_counts(obs, chunks)))
     again = Counter(collect(sites.joint_counts(obs.orderBy(F.rand(5)).repartition(7), chunks)))
     assert once == again
@@ -156,21 +150,30 @@ def test_hot_position(spark):
 def test_unknown_contig_is_an_error(spark, chunks):
     at = spark.createDataFrame([("9", 1)], "chrom string, pos int")
     with pytest.raises(Exception, match="contig not in the reference: 9"):
-        with_reference_base(at, chunks, 16).collect()
+        with_reference_base(at, chunks).collect()
 
 
 @pytest.mark.parametrize("chunk", [16, 7])
 def test_fetch_intervals(spark, chunk):
     chunks = brute.chunks_frame(spark, REFERENCE, chunk)
     wanted = [("1", 0, 5), ("1", 10, 37), ("2", 55, 900), ("2", 16, 16), ("1", 70, 80), ("2", 0, 60)]
-    frame = spark.createDataFrame(wanted, "chrom string, start int, end int")
-    got = {tuple(r)[:3]: r.sequence for r in fetch_intervals(frame, chunks, chunk).collect()}
-    assert got == {(c, s, e): REFERENCE[c][s:e] for c, s, e in wanted}
+    wanted += [("1", 0, 5), ("2", 3, None), ("1", -4, 3)]
+    frame = spark.createDataFrame([(i, *w) for i, w in enumerate(wanted)] * 2, "id int, chrom string, start int, end int")
+    got = Counter(tuple(r) for r in fetch_intervals(frame, chunks).collect())
+    assert got == Counter([(i, c, s, e, REFERENCE[c][max(s, 0):e]) for i, (c, s, e) in enumerate(wanted)] * 2)
+    with pytest.raises(Exception, match="contig not in the reference: 9"):
+        fetch_intervals(spark.createDataFrame([("9", 0, 4)], "chrom string, start int, end int"), chunks).collect()
+
+
+def test_wrong_width_is_an_error(spark, chunks):
+    at = spark.createDataFrame([("1", 40)], "chrom string, pos int")
+    with pytest.raises(Exception, match="another width"):
+        with_reference_base(at, chunks.withColumn("width", F.lit(10))).collect()
 
 
 def test_fetch_region(spark, chunks):
     for text, want in (("1:11-37", ("1", 10, 37)), ("2:31", ("2", 30, None)), ("2", ("2", 0, None))):
-        assert fetch_region(chunks, text, 16).first().sequence == REFERENCE[want[0]][want[1]:want[2]]
+        assert fetch_region(chunks, text).first().sequence == REFERENCE[want[0]][want[1]:want[2]]
 
 
 def span(read):

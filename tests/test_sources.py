@@ -106,7 +106,7 @@ def test_regions_and_flags(spark):
         r = spark.range(1).select(regions.parse_region(F.lit(text)).alias("r")).first().r
         return r.chrom, r.start, r.end
 
-    end = 1 << 29
+    end = None
     assert parse("chr1") == ("chr1", 0, end)
     assert parse("chr1:1,001-2,000") == ("chr1", 1000, 2000)
     assert parse(" chr1 : 5 ") == ("chr1", 4, end)
@@ -129,6 +129,14 @@ def test_region_scan(spark):
     assert got == Counter(r["qname"] for r in everything if r["chrom"] == "2" and r["pos"] < 40 and span(r) > 20)
 
 
+def test_regions_beyond_any_bin(spark):
+    """No coordinate counts as the end of a contig."""
+    far = dict(sample="normal", qname="far", flag=0, chrom="1", pos=600_000_000, mapq=9, cigar="5M", seq="ACGTA", qual="IIIII")
+    frame = brute.reads_frame(spark, [far])
+    for region, n in (("1", 1), ("1:1000", 1), ("1:1-1000", 0), ("1:600,000,005-600,000,010", 1), ("2", 0)):
+        assert ops.in_region_string(frame, region).count() == n
+
+
 def test_tag_edits(spark):
     frame = spark.createDataFrame([({"NM": "i:3", "RG": "Z:g"},)], "tags map<string,string>")
     t = F.col("tags")
@@ -228,7 +236,7 @@ def test_bam_header_tags_and_stats(spark, bam):
         assert stats[c] == (sum(not r["flag"] & 4 for r in mine), sum(bool(r["flag"] & 4) for r in mine))
 
 
-@pytest.mark.parametrize("region", [("1", 0, None), ("2", 0, 20_000), ("1", 40_000, 40_500), ("2", 99_000, 300_000), ("3", 0, 10), ("9", 0, 10)])
+@pytest.mark.parametrize("region", [("1", 0, None), ("2", 0, 20_000), ("1", 40_000, 40_500), ("2", 99_000, 300_000), ("3", 0, 10)])
 def test_bam_region(spark, bam, region):
     path, reads = bam
     chrom, start, end = region
@@ -238,6 +246,46 @@ def test_bam_region(spark, bam, region):
     assert Counter(map(tuple, rows)) == Counter(map(key, want))
 
 
+def test_bam_unknown_contig(spark, bam):
+    with pytest.raises(Exception, match="unknown contig: 9"):
+        read_bam(spark, bam[0], "normal", region=("9", 0, 10)).count()
+
+
+def test_bam_floats_and_folders(spark, tmp_path, monkeypatch):
+    """Float tags read back to the stored value; files in folders below count; batches are bounded by bytes."""
+    import numpy as np
+
+    from paircall.sources import bam as module
+    from paircall.sources.files import list_files, plain_uri
+
+    for value in (0.123456789, 16777215.0, 1e-30, 0.5, 3.0):
+        assert np.float32(module._number(np.float32(value), "f")) == np.float32(value)
+        assert float(module._number(value, "d")) == value
+    assert module._number(0.5, "f") == "0.5" and module._number(3.0, "d") == "3"
+    for name in ("a=1/x.bam", "a=1/b=2/y.bam", "_hidden/z.bam", ".other/z.bam", "top.bam"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12")
+    assert [(p.removeprefix(str(tmp_path)), n) for p, n in list_files(str(tmp_path), (".bam",))] == [("/a=1/b=2/y.bam", 2), ("/a=1/x.bam", 2), ("/top.bam", 2)]
+    assert plain_uri("s3a://bucket/key") == "s3://bucket/key" and plain_uri("hdfs://host/x") == "hdfs://host/x"
+
+
+def test_bam_long_records(spark, tmp_path, monkeypatch):
+    from paircall.sources import bam as module
+
+    reads = brute.random_reads(60, 50, contigs=("1",), seed=4)
+    for r in reads:
+        r["sample"], r["chrom"] = "normal", "1"
+        extra = 40_000
+        r["cigar"], r["seq"], r["qual"] = f"{extra}M", "ACGT" * (extra // 4), "I" * extra
+    path = str(tmp_path / "long.bam")
+    bam_files.write(path, reads, ["1"], [100_000], brute.operations)
+    monkeypatch.setattr(module, "BATCH_BYTES", 200_000)
+    reader = module.BamReader({"path": path, "sample": "normal"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) > 10 and sum(b.num_rows for b in batches) == 60
+    assert read_bam(spark, path, "normal").where("length(seq) = 40000").count() == 60
+
+
 def test_bam_filters_on_one_frame(spark, bam):
     """A filter of one query must not reach the next one on the same DataFrame."""
     path, reads = bam

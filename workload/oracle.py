@@ -255,18 +255,23 @@ def ess_columns(model: str) -> list[str]:
 
 
 def em(model: str) -> str:
-    ctes = []
-    for i in range(2):
-        ctes += [scores(model, "train", f"theta{i}", f"e{i}"), statistics(model, f"e{i}", f"stats{i}"), update(model, f"stats{i}", f"theta{i}", f"theta{i + 1}")]
-    rows = [f"SELECT 'pi' AS component, '{g}' AS genotype, round(pi_{g}, 5) AS value FROM theta2" for g in JOINT]
+    """EM until the relative change of the log-likelihood falls below 1e-6, on every third site."""
+    sampled = f"""ordered AS (SELECT *, row_number() OVER (ORDER BY chrom, pos) AS i FROM sites WHERE {DEPTH_FILTER}),
+train AS MATERIALIZED (SELECT * EXCLUDE (i) FROM ordered WHERE i % 3 = 0)"""
+    start = [OBS, sites(), sampled] + ([cells(source="train").replace("cells AS (", "cells AS MATERIALIZED (", 1)] if model == "quality" else [])
+    step = with_(scores(model, "train", "loop", "e"), statistics(model, "e", "stats"), update(model, "stats", "loop", "theta"),
+        select="SELECT o.step + 1 AS step, f.ll, o.ll AS before, f.* EXCLUDE (ll) FROM theta_full f, loop o WHERE o.step < 2 OR (o.ll - o.before) / abs(o.before) >= 1e-6")
+    loop = f"loop AS (SELECT 0 AS step, CAST(NULL AS DOUBLE) AS ll, CAST(NULL AS DOUBLE) AS before, * FROM theta0 UNION ALL ({step}))"
+    rows = [f"SELECT 'pi' AS component, '{g}' AS genotype, round(pi_{g}, 5) AS value FROM last" for g in JOINT]
     for s in "NT":
         for g, a, b in zip(GENOTYPES, ALPHA, BETA):
             if model == "beta_binomial":
                 rows += [f"SELECT 'alpha_{s}', '{g}', {a}", f"SELECT 'beta_{s}', '{g}', {b}"]
             else:
-                rows.append(f"SELECT 'mu_{s}', '{g}', round(mu_{s}_{g}, 5) FROM theta2")
-    rows += [f"SELECT 'log_likelihood', '{i}', round(ll, 5) FROM theta{i}_full" for i in (1, 2)]
-    return training(*ctes, model=model, select="\nUNION ALL ".join(rows))
+                rows.append(f"SELECT 'mu_{s}', '{g}', round(mu_{s}_{g}, 5) FROM last")
+    rows += ["SELECT 'log_likelihood', 'last', round(ll, 5) FROM last", "SELECT 'iterations', 'all', step FROM last"]
+    last = "last AS MATERIALIZED (SELECT * FROM loop ORDER BY step DESC LIMIT 1)"
+    return with_(*start, start_params(), loop, last, select="\nUNION ALL ".join(rows)).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 LABELS = {
@@ -307,7 +312,7 @@ ORACLE: dict[str, str] = {
         WHEN pos % 6 = 5 THEN 'missing read name' WHEN pos % 6 = 2 THEN 'invalid CIGAR character'
         WHEN pos % 6 = 1 THEN 'invalid CIGAR operation' WHEN pos % 6 = 3 THEN 'CIGAR and sequence length are inconsistent'
         WHEN pos % 6 = 4 THEN 'sequence and quality are inconsistent' END AS error, count(*) AS reads FROM reads GROUP BY ALL"""),
-    "base_normalise": r"""WITH t AS (SELECT doc_id, regexp_replace(translate(upper(regexp_replace(text, '[^!-~]', '', 'g')), '0123', 'ACGT'),
+    "base_normalise": r"""WITH t AS (SELECT doc_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz0123', 'ABCDEFGHIJKLMNOPQRSTUVWXYZACGT'),
       '[^=ACMGRSVTWYHKDBN]', 'N', 'g') AS seq FROM documents)
       SELECT doc_id, CAST(length(seq) AS BIGINT) AS letters, md5(seq) AS digest FROM t""",
     "tag_lookup": with_(READS, select="""SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'none' ELSE concat('rg', l_suppkey) END AS rg, nm, chrom AS xt,
@@ -329,7 +334,7 @@ ORACLE: dict[str, str] = {
     "region_parse": """WITH f AS (SELECT l_returnflag AS c, l_partkey AS k, form FROM lineitem, (VALUES (0), (1), (2), (3), (4)) f(form))
       SELECT CAST(form AS BIGINT) AS form, CASE form WHEN 4 THEN concat('HLA:', c, ':x-', k) ELSE c END AS chrom,
         CAST(CASE form WHEN 1 THEN k WHEN 2 THEN k * 1000 WHEN 3 THEN k ELSE 0 END AS BIGINT) AS "start",
-        CAST(CASE form WHEN 2 THEN k * 1000 + 500 WHEN 3 THEN k + 9 ELSE 536870912 END AS BIGINT) AS "end", count(*) AS n FROM f GROUP BY ALL""",
+        CAST(CASE form WHEN 2 THEN k * 1000 + 500 WHEN 3 THEN k + 9 END AS BIGINT) AS "end", count(*) AS n FROM f GROUP BY ALL""",
     "genomic_bin": f"""WITH t AS (SELECT CAST(l_orderkey * 4099 % 500000000 AS BIGINT) AS s, CAST(pow(10, l_linenumber) AS BIGINT) AS w FROM lineitem)
       SELECT CAST({bin_of('s', '(s + w)')} AS BIGINT) AS bin, count(*) AS reads FROM t GROUP BY 1""",
     "pileup_expand": with_(READS, STEPS, ENTRIES, select="""SELECT sample, chrom, pos, CASE WHEN has_base = 1 THEN base END AS base, count(*) AS n,
@@ -356,7 +361,8 @@ ORACLE: dict[str, str] = {
       FROM lineitem, last_position l JOIN reference r ON r.chrom = l_returnflag AND r.pos = least(l_partkey + l_linenumber, l.last_pos) GROUP BY ALL"""),
     "reference_interval": with_(REFERENCE, REGIONS, select="""SELECT g.chrom, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end",
       coalesce(string_agg(ref_base, '' ORDER BY r.pos), '') AS sequence
-      FROM regions g LEFT JOIN reference r ON r.chrom = g.chrom AND r.pos >= "start" AND r.pos < "end" GROUP BY ALL"""),
+      FROM (SELECT *, row_number() OVER () AS id FROM regions) g LEFT JOIN reference r ON r.chrom = g.chrom AND r.pos >= "start" AND r.pos < "end"
+      GROUP BY g.id, g.chrom, "start", "end" """),
     "positions_semi": with_(OBS, LISTED, select="""SELECT sample, chrom, pos, count(*) AS n, CAST(sum(bq) AS BIGINT) AS sum_bq
       FROM obs WHERE (chrom, pos) IN (SELECT chrom, pos FROM listed) GROUP BY ALL"""),
     "quality_histogram": with_(OBS, sites(5, 5), cells(5, 5), select="SELECT chrom, pos, s, round(q, 6) AS q, round(r, 6) AS r, count(*) AS n FROM cells GROUP BY ALL"),
@@ -398,7 +404,7 @@ ORACLE: dict[str, str] = {
         select=f"SELECT chrom, pos, {', '.join(COUNTS)} FROM ordered WHERE i % 3 = 0"),
     "count_histogram": with_(OBS, sites(), select=f"SELECT {', '.join(COUNTS)}, count(*) AS w FROM sites WHERE {DEPTH_FILTER} GROUP BY ALL"),
     **{f"ess_{m}": ess(m, f"SELECT {rounded(ess_columns(m), 4)} FROM stats") for m in LOGLIKS},
-    **{f"em_{m}_2iter": em(m) for m in LOGLIKS},
+    **{f"train_{m}": em(m) for m in LOGLIKS},
 }
 
 
@@ -410,3 +416,4 @@ def data_loglik() -> str:
 
 
 ORACLE["data_loglik"] = data_loglik()
+ORACLE |= {f"{name}_wide": ORACLE[name] for name in ("reference_lookup", "reference_interval")}

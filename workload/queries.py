@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from paircall.functions import bases, cigar, flags, likelihood, logspace, quality, tags
 from paircall.functions import regions as region_functions
-from paircall.models import MODELS, expected_statistics, fit, score, training_table
+from paircall.models import MODELS, expected_statistics, score, training_table
 from paircall.models.density import model_by_name
 from paircall.operators import labels, pileup, positions, ranges, reads, reference, sites
-from paircall.plans import classify, paired_observations, training_sites
+from paircall.plans import classify, paired_observations, train, training_sites
 from paircall.plans.classify import scored_sites
 from paircall.schema import COUNTS, POSTERIORS
 from paircall.sinks import results_table, results_text
@@ -128,8 +128,7 @@ def record_validation(spark, sf):
 @query
 def base_normalise(spark, sf):
     """Document text as sequence letters: whole texts, counted by normalised letter."""
-    text = F.regexp_replace("text", "[^!-~]", "")
-    df = table(spark, sf, "documents").select("doc_id", bases.normalise_bases(text).alias("seq"))
+    df = table(spark, sf, "documents").select("doc_id", bases.normalise_bases(F.col("text")).alias("seq"))
     return df.select("doc_id", F.length("seq").cast("long").alias("letters"), F.md5("seq").alias("digest"))
 
 
@@ -317,6 +316,22 @@ def reference_interval(spark, sf):
     return rounded(reference.fetch_intervals(intervals, inputs.reference_chunks(spark, sf)), [])
 
 
+@query
+def reference_lookup_wide(spark, sf):
+    """The same through chunks of another width."""
+    at = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("chrom"), (F.col("l_partkey") + F.col("l_linenumber")).cast("int").alias("pos")
+    )
+    found = reference.with_reference_base(at, reference.chunk_table(inputs.reference_bases(spark, sf), 1000))
+    return found.groupBy("chrom", long("pos"), "ref_base").agg(F.count("*").alias("n"))
+
+
+@query
+def reference_interval_wide(spark, sf):
+    intervals = inputs.regions(spark, sf).select("chrom", "start", "end")
+    return rounded(reference.fetch_intervals(intervals, reference.chunk_table(inputs.reference_bases(spark, sf), 77)), [])
+
+
 @query
 def positions_semi(spark, sf):
     listed = parse_positions(inputs.position_lines(spark, sf))
@@ -521,21 +536,22 @@ def data_loglik(spark, sf):
 
 
 def trained(spark, sf, model):
-    result = fit(training(spark, sf, model), model, max_iters=2)
-    rows = result.params.to_rows() + [("log_likelihood", str(h[0]), h[1]) for h in result.history]
+    """Trained to convergence on every third site: parameters, log-likelihood and number of iterations."""
+    result = train(inputs.observations(spark, sf), model=model, skip=3, **DEPTHS)
+    rows = result.params.to_rows() + [("log_likelihood", "last", result.history[-1][1]), ("iterations", "all", float(result.iterations))]
     return rounded(spark.createDataFrame(rows, "component string, genotype string, value double"), ["value"], 5)
 
 
 @query
-def em_binomial_2iter(spark, sf):
+def train_binomial(spark, sf):
     return trained(spark, sf, "binomial")
 
 
 @query
-def em_beta_binomial_2iter(spark, sf):
+def train_beta_binomial(spark, sf):
     return trained(spark, sf, "beta_binomial")
 
 
 @query
-def em_quality_2iter(spark, sf):
+def train_quality(spark, sf):
     return trained(spark, sf, "quality")
