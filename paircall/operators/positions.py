@@ -9,6 +9,10 @@ from .ranges import in_regions
 from .sizing import BROADCAST_ROWS, is_small
 
 
+# Bins of about a read's length: a read meets few listed positions, however dense the list.
+NEAR_SHIFT = 8
+
+
 def position_keys(positions: DataFrame) -> DataFrame:
     """0-based keys of a list read with 1-based `position`."""
     keys = positions if "pos" in positions.columns else positions.withColumn("pos", F.col("position") - 1)
@@ -24,4 +28,4 @@ def at_positions(df: DataFrame, positions: DataFrame, rows: int = BROADCAST_ROWS
 def reads_near(reads: DataFrame, positions: DataFrame) -> DataFrame:
     """Reads that cover at least one listed position; the rest need no expansion."""
     keys = position_keys(positions)
-    return in_regions(reads, keys.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
+    return in_regions(reads, keys.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")), shift=NEAR_SHIFT)

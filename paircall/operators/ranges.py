@@ -11,22 +11,22 @@ from .reads import with_end
 from .sizing import BROADCAST_ROWS, broadcast_if_small, is_small
 
 
-def to_bins(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per bin that [start, end) touches, with the bin number in `bin`."""
-    first = F.shiftright(F.col(start), BIN_SHIFT).cast("int")
-    last = F.shiftright(F.greatest(F.col(end) - 1, F.col(start)), BIN_SHIFT).cast("int")
+def to_bins(df: DataFrame, start: str, end: str, shift: int = BIN_SHIFT) -> DataFrame:
+    """One row per bin of 2**shift positions that [start, end) touches, with the bin number in `bin`."""
+    first = F.shiftright(F.col(start), shift).cast("int")
+    last = F.shiftright(F.greatest(F.col(end) - 1, F.col(start)), shift).cast("int")
     return df.withColumn("bin", F.explode(F.sequence(first, last)))
 
 
-def merged_pieces(regions: DataFrame) -> DataFrame:
+def merged_pieces(regions: DataFrame, shift: int = BIN_SHIFT) -> DataFrame:
     """Regions as disjoint pieces `chrom, bin, start, end, previous_end`, each inside one bin.
 
     Regions are cut at bin borders and reduced to the longest piece per start before any window,
     so that a window over one bin sorts at most one row per position of the bin, and the window over a
     contig at most one row per bin. `previous_end` is the end of the piece before, over all bins.
     """
-    width = 1 << BIN_SHIFT
-    cut = to_bins(regions.select("chrom", "start", "end").where("start < end"), "start", "end").select(
+    width = 1 << shift
+    cut = to_bins(regions.select("chrom", "start", "end").where("start < end"), "start", "end", shift).select(
         "chrom",
         "bin",
         F.greatest("start", F.col("bin") * width).alias("start"),
@@ -54,13 +54,15 @@ def merged_pieces(regions: DataFrame) -> DataFrame:
     )
 
 
-def in_regions(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def in_regions(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS, shift: int = BIN_SHIFT) -> DataFrame:
     """Reads that overlap at least one region, each once.
 
+    A read is compared with all pieces of its bins: wide bins suit long regions, narrow ones dense short ones.
+
     A read meets several pieces; only the first is kept, which is the overlapping piece whose
     predecessor ends at or before the read starts. So no distinct and no read key is needed.
     """
-    pieces = merged_pieces(regions).select(
+    pieces = merged_pieces(regions, shift).select(
         "chrom",
         "bin",
         F.col("start").alias("_piece_start"),
@@ -69,7 +71,7 @@ def in_regions(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS)
     )
     if is_small(regions, rows):
         pieces = broadcast_if_small(pieces, rows)
-    spread = to_bins(with_end(reads).withColumnRenamed("end", "_end"), "pos", "_end")
+    spread = to_bins(with_end(reads).withColumnRenamed("end", "_end"), "pos", "_end", shift)
     hit = spread.join(pieces, ["chrom", "bin"]).where(
         overlaps(F.col("pos"), F.col("_end"), F.col("_piece_start"), F.col("_piece_end"))
         & (F.col("_piece_before") <= F.col("pos"))

@@ -11,19 +11,14 @@ BLOCK = 1_000_000
 def genome_rank(sites: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add `rank`, the 1-based place of each site in (chrom, pos) order, one site per position.
 
-    No window runs over all rows: a site is ranked within its block of positions, a block within
-    its contig (one row per block), and a contig among contigs (one row per contig).
+    No window runs over all rows: a site is ranked within its block of positions, and blocks, one row each, are added
+    up in order. The sites are read twice, for their places and for the blocks' counts.
     """
     placed = sites.withColumn("_block", F.floor(F.col("pos") / block).cast("int"))
     in_block = Window.partitionBy("chrom", "_block").orderBy("pos")
     blocks = placed.groupBy("chrom", "_block").agg(F.count("*").alias("_n"))
-    before = lambda window: F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_contig = blocks.select("chrom", "_block", before(Window.partitionBy("chrom").orderBy("_block")).alias("_blocks_before"))
-    contigs = blocks.groupBy("chrom").agg(F.sum("_n").alias("_n"))
-    among = contigs.select("chrom", before(Window.partitionBy(F.lit(0)).orderBy("chrom")).alias("_contigs_before"))
-    offsets = in_contig.join(among, "chrom").select(
-        "chrom", "_block", (F.col("_blocks_before") + F.col("_contigs_before")).alias("_offset")
-    )
+    before = Window.orderBy("chrom", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("chrom", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
         placed.withColumn("_row", F.row_number().over(in_block))
         .join(offsets, ["chrom", "_block"])
