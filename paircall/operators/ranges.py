@@ -79,16 +79,16 @@ def in_regions(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS,
     return hit.select(*reads.columns)
 
 
-def overlap_pairs(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def overlap_pairs(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS, shift: int = BIN_SHIFT) -> DataFrame:
     """Every overlapping (read, region) pair; region columns are `chrom, start, end` and any others.
 
     Both sides are spread over bins and joined on (chrom, bin). A pair is kept only in the later of
     the two first bins, which holds both, so it comes out once without a distinct.
     """
-    left = to_bins(with_end(reads).withColumnRenamed("end", "_end"), "pos", "_end")
+    left = to_bins(with_end(reads).withColumnRenamed("end", "_end"), "pos", "_end", shift)
     right = regions.withColumnsRenamed({"start": "region_start", "end": "region_end"})
-    right = to_bins(right.where("region_start < region_end"), "region_start", "region_end")
-    first_bin = F.shiftright(F.greatest("pos", "region_start"), BIN_SHIFT)
+    right = to_bins(right.where("region_start < region_end"), "region_start", "region_end", shift)
+    first_bin = F.shiftright(F.greatest("pos", "region_start"), shift)
     hit = left.join(broadcast_if_small(right, rows), ["chrom", "bin"]).where(
         overlaps(F.col("pos"), F.col("_end"), F.col("region_start"), F.col("region_end")) & (F.col("bin") == first_bin)
     )

@@ -181,15 +181,14 @@ def span(read):
 
 
 @pytest.mark.parametrize("rows", [200_000, 0])
-def test_regions(spark, rows, monkeypatch):
-    monkeypatch.setattr(ranges, "BIN_SHIFT", 4)
+def test_regions(spark, rows):
     wanted = [("1", 3, 9), ("1", 5, 30), ("1", 30, 31), ("1", 64, 70), ("2", 0, 1), ("2", 20, 80), ("2", 40, 50), ("2", 40, 45)]
     frame = brute.reads_frame(spark, READS)
     regions = spark.createDataFrame(wanted, "chrom string, start int, end int")
     overlap = lambda r, g: r["chrom"] == g[0] and r["pos"] < g[2] and span(r) > g[1]
-    once = Counter(r.qname for r in ranges.in_regions(frame, regions, rows).collect())
+    once = Counter(r.qname for r in ranges.in_regions(frame, regions, rows, shift=4).collect())
     assert once == Counter(r["qname"] for r in READS if any(overlap(r, g) for g in wanted))
-    pairs = Counter((r.qname, r.region_start, r.region_end) for r in ranges.overlap_pairs(frame, regions, rows).collect())
+    pairs = Counter((r.qname, r.region_start, r.region_end) for r in ranges.overlap_pairs(frame, regions, rows, shift=4).collect())
     assert pairs == Counter((r["qname"], g[1], g[2]) for r in READS for g in wanted if overlap(r, g))
 
 
