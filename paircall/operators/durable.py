@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def _checkpoint_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names; on a single machine without one, as in tests, a new temporary folder."""
+    """The folder that the session or the cluster names, or none. It has to be one that all executors share."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="paircall-checkpoint-")
     if folder is not None and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -24,7 +20,8 @@ def durable(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
     Blocks lost with an executor are read again from the checkpoint instead of from the alignments. The kept
     rows are partitioned by `keys`, so that repeated aggregations by them need no shuffle. The caller
-    unpersists. A cluster without a checkpoint folder only caches.
+    unpersists; the files go with Spark's cleaner (spark.cleaner.referenceTracking.cleanCheckpoints). Without a
+    checkpoint folder (spark.checkpoint.dir) the table is only cached.
     """
     if _checkpoint_folder(df.sparkSession) is not None:
         df = df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 The `.bai` index gives virtual offsets at which records begin. They cut a file into partitions of
 similar compressed size, which are read independently and arrive as Arrow batches. An index is
-required. The options `chrom`, `start` and `end` select partitions through it.
+required. The option `regions` selects partitions through it.
 
 The source takes no filters from Spark: in Spark 4.1 the filters that one query pushes into a Python source
 stay with the loaded table, and a second query on the same DataFrame would miss rows.
@@ -10,10 +10,12 @@ stay with the loaded table, and a second query on the same DataFrame would miss
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.ranges import in_regions
 from ..operators.reads import in_region
 from ..schema import ALIGNMENT, BASE_CODES
 from .files import exists, list_files, open_input, read_all
@@ -198,10 +201,41 @@ def read_index(path: str) -> tuple[list[ContigIndex], list[int]]:
     return contigs, sorted(offsets)
 
 
-def plan_splits(path: str, size: int, split_bytes: int, ranges: list[tuple[int, int | None]] | None) -> list[BamSplit]:
-    """Splits of a file of about `split_bytes` of compressed data."""
-    _, first = read_bam_header(path)
-    _, offsets = read_index(index_path(path))
+def wanted_ranges(path: str, header: Header, entries: list[ContigIndex], regions) -> list[tuple[int, int | None]] | None:
+    """Disjoint ranges of virtual offsets that may hold reads of the regions; None for the whole file."""
+    found = []
+    for chrom, start, until in regions:
+        if chrom == "*":
+            return None
+        if chrom not in header.names:
+            raise ValueError(f"unknown contig: {chrom} is not in {path}")
+        entry = entries[header.names.index(chrom)]
+        if entry.begin is None:
+            continue
+        begin, end = entry.begin, entry.end
+        if start > 0 and entry.linear:
+            # The first record that reaches the window of `start`, or any later window if that one is empty.
+            begin = max(begin, next((v for v in entry.linear[start >> LINEAR_SHIFT:] if v), end))
+        if until is not None:
+            # Records are in order, so those behind one that lies in a window past the bound start past it too.
+            window = -(-max(until, 0) >> LINEAR_SHIFT)
+            end = min([end, *(v for w, v in entry.leaves.items() if w >= window)])
+        if begin < end:
+            found.append((begin, end))
+    merged: list[tuple[int, int]] = []
+    for begin, end in sorted(found):
+        if merged and begin <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((begin, end))
+    return merged
+
+
+def plan_splits(path: str, size: int, split_bytes: int, regions: list[tuple[str, int, int | None]] | None) -> list[BamSplit]:
+    """Splits of a file of about `split_bytes` of compressed data. Header and index are read once."""
+    header, first = read_bam_header(path)
+    entries, offsets = read_index(index_path(path))
+    ranges = None if regions is None else wanted_ranges(path, header, entries, regions)
     cuts, splits = [first], []
     for offset in offsets:
         if offset > first and (offset >> 16) - (cuts[-1] >> 16) >= split_bytes:
@@ -414,37 +448,14 @@ class BamReader(DataSourceReader):
         self.sample = options.get("sample", "")
         self.with_tags = options.get("tags", "true").lower() == "true"
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
-        # Wanted contig, exclusive upper bound of the start position, and lower bound of the end position.
-        self.chrom: str | None = options.get("chrom")
-        self.until: int | None = int(options["end"]) if "end" in options else None
-        self.start = int(options.get("start", 0))
-
-    def _ranges(self, path: str) -> list[tuple[int, int | None]] | None:
-        """Virtual offsets that may hold the wanted contig and start positions."""
-        if self.chrom is None or self.chrom == "*":
-            return None
-        header, _ = read_bam_header(path)
-        if self.chrom not in header.names:
-            raise ValueError(f"unknown contig: {self.chrom} is not in {path}")
-        entry = read_index(index_path(path))[0][header.names.index(self.chrom)]
-        if entry.begin is None:
-            return []
-        begin, end = entry.begin, entry.end
-        if self.start > 0 and entry.linear:
-            # The first record that reaches the window of `start`, or any later window if that one is empty.
-            begin = max(begin, next((v for v in entry.linear[self.start >> LINEAR_SHIFT:] if v), end))
-        if self.until is not None:
-            # Records are in order, so those behind one that lies in a window past the bound start past it too.
-            window = -(-max(self.until, 0) >> LINEAR_SHIFT)
-            end = min([end, *(v for w, v in entry.leaves.items() if w >= window)])
-        return [(begin, end)] if begin < end else []
+        # Wanted regions: contig, lower bound of the end position, exclusive upper bound of the start position.
+        self.regions = [tuple(r) for r in json.loads(options["regions"])] if "regions" in options else None
 
     def partitions(self):
-        return [
-            split
-            for path, size in list_files(self.path, (".bam",))
-            for split in plan_splits(path, size, self.split_bytes, self._ranges(path))
-        ]
+        files = list_files(self.path, (".bam",))
+        with ThreadPoolExecutor(min(16, len(files) or 1)) as pool:
+            plans = pool.map(lambda file: plan_splits(*file, self.split_bytes, self.regions), files)
+            return [split for plan in plans for split in plan]
 
     def read(self, partition: BamSplit | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing to read: no partition was planned
@@ -480,7 +491,7 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """Options: `path` (file or directory), `sample`, `tags` (true|false), `splitBytes`, `chrom`, `start`, `end`."""
+    """Options: `path` (file or directory), `sample`, `tags` (true|false), `splitBytes`, `regions` (JSON list of contig, start, end or null)."""
 
     @classmethod
     def name(cls) -> str:
@@ -504,21 +515,30 @@ def read_bam(
     region: tuple[str, int, int | None] | None = None,
     tags: bool = True,
     split_bytes: int = SPLIT_BYTES,
+    regions: list[tuple[str, int, int | None]] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Alignment rows of indexed BAM files. Tags cost time per read; `tags=False` leaves them null.
 
-    With a region `(chrom, start, end)` only the parts of the files that the index names are read, and
-    the reads that overlap the region come back whole.
+    With a region `(chrom, start, end)`, or several, only the parts of the files that the index names are read, and
+    the reads that overlap a region come back whole, each once; `whole` leaves in what else those parts hold, for
+    callers that filter later. A contig that a file does not have is an error.
     """
     register_bam(spark)
     reader = spark.read.format("bam").option("sample", sample).option("tags", str(tags).lower())
     reader = reader.option("splitBytes", split_bytes)
-    if region is None:
+    wanted = [region] if region is not None else regions
+    if wanted is None:
         return reader.load(path)
-    chrom, start, end = region
-    reader = reader.option("chrom", chrom).option("start", start)
-    reads = (reader if end is None else reader.option("end", end)).load(path)
-    return in_region(reads, chrom, start, end)
+    reads = reader.option("regions", json.dumps(wanted)).load(path)
+    if whole:
+        return reads
+    if region is not None:
+        return in_region(reads, *region)
+    header, _ = read_bam_header(list_files(path, (".bam",))[0][0])
+    lengths = dict(zip(header.names, header.lengths))
+    table = spark.createDataFrame([(c, s, lengths.get(c, s) if e is None else e) for c, s, e in wanted], "chrom string, start int, end int")
+    return in_regions(reads, table)
 
 
 def read_bam_contigs(spark: SparkSession, path: str) -> DataFrame:

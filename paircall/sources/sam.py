@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.flags import parse_flag
@@ -115,8 +115,9 @@ def parse_contigs(header: DataFrame) -> DataFrame:
     first = listed.groupBy("chrom").agg(
         F.min(F.struct("file", "line_no", "length")).alias("first")
     ).select("chrom", "first.*")
-    entries = F.array_sort(F.collect_list(F.struct("file", "line_no", "chrom", "length")))
-    return first.agg(entries.alias("e")).select(F.posexplode("e").alias("tid", "e")).select("e.chrom", "e.length", "tid")
+    # A window over header rows, one per contig.
+    order = Window.orderBy("file", "line_no", "chrom")
+    return first.select("chrom", "length", (F.row_number().over(order) - 1).alias("tid"))
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:

@@ -246,6 +246,37 @@ def test_bam_region(spark, bam, region):
     assert Counter(map(tuple, rows)) == Counter(map(key, want))
 
 
+def test_bam_regions(spark, bam):
+    path, reads = bam
+    wanted = [("1", 0, 900), ("1", 40_000, 40_500), ("2", 99_000, None), ("1", 40_200, 41_000)]
+    stop = lambda r: r["pos"] + sum(n for n, op in brute.operations(r["cigar"]) if op in "MDN=X")
+    rows = read_bam(spark, path, "normal", regions=wanted, split_bytes=600).select(*COLUMNS).collect()
+    hit = lambda r, g: r["chrom"] == g[0] and (g[2] is None or r["pos"] < g[2]) and stop(r) > g[1]
+    assert Counter(map(tuple, rows)) == Counter(map(key, [r for r in reads if any(hit(r, g) for g in wanted)]))
+
+
+def test_bam_observations(spark, bam):
+    """The plan that reads through the index gives what a full scan gives, from fewer splits."""
+    from paircall.plans import bam_observations, paired_observations
+    from paircall.plans.alignments import listed_regions
+    from paircall.sources import bam as module
+
+    path, reads = bam
+    listed = spark.createDataFrame([("1", 10), ("1", 40_100), ("2", 99_050), ("9", 5)], "chrom string, pos int")
+    halves = [read_bam(spark, path, s) for s in ("normal", "tumour")]
+    for options in ({"chromosome": "2"}, {"positions": listed}, {"positions": listed, "chromosome": "1"}, {}):
+        got = Counter(map(tuple, bam_observations(spark, path, path, split_bytes=600, **options).collect()))
+        assert got == Counter(map(tuple, paired_observations(*halves, **options).collect())) and got
+    size = [n for p, n in module.list_files(path)][0]
+    splits = lambda regions: len(module.plan_splits(path, size, 600, regions))
+    assert splits([("2", 0, None)]) < splits(None) / 2
+    assert splits(listed_regions(listed.where("chrom <> '9'"))) < splits(None) / 2
+    assert listed_regions(listed.where("chrom = '1'")) == [("1", 0, 16384), ("1", 32768, 49152)]
+    assert sorted(listed_regions(listed, windows=2)) == [("1", 0, None), ("2", 0, None), ("9", 0, None)]
+    with pytest.raises(ValueError, match="unknown contig: 9"):
+        bam_observations(spark, path, path, chromosome="9")
+
+
 def test_bam_unknown_contig(spark, bam):
     with pytest.raises(Exception, match="unknown contig: 9"):
         read_bam(spark, bam[0], "normal", region=("9", 0, 10)).count()
