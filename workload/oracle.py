@@ -416,4 +416,23 @@ def data_loglik() -> str:
 
 
 ORACLE["data_loglik"] = data_loglik()
+
+
+def logliks_tempered(source: str, params: str) -> str:
+    terms = ", ".join(f"(a_{s} * ln(mu_{s}_{g}) + b_{s} * ln(1 - mu_{s}_{g})) / 2 AS l_{s}_{g}" for s in "NT" for g in GENOTYPES)
+    return f"SELECT x.*, pi.*, {terms} FROM {source} x, {params} pi"
+
+
+LOGLIKS["tempered"] = logliks_tempered
+ORACLE |= {
+    "score_own_density": scored("tempered", f"SELECT {SITE_COLUMNS}, {rounded(POSTERIORS)} FROM scored"),
+    "no_contig": with_(READS, select=f"""SELECT sample, chrom, count(*) AS reads, CAST(sum(pos) AS BIGINT) AS sum_pos
+      FROM reads WHERE {KEPT} AND pos % 7 <> 0 GROUP BY ALL"""),
+    "output_order": with_(OBS, sites(), select="""SELECT chrom, pos + 1 AS "position", row_number() OVER (ORDER BY chrom, pos) AS place FROM sites"""),
+    "parameters_round_trip": f"""WITH w AS (SELECT {list(JOINT)}[l_partkey % 9 + 1] AS genotype, sum(l_quantity) AS value FROM lineitem GROUP BY 1),
+      m AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'mu_N' ELSE 'mu_T' END AS component, {list(GENOTYPES)}[l_partkey % 3 + 1] AS genotype,
+        avg(CASE WHEN l_linenumber > 2 THEN 0.75 ELSE 0.25 END) AS value FROM lineitem GROUP BY ALL)
+      SELECT 'pi' AS component, genotype, round(value / sum(value) OVER (), 6) AS value FROM w
+      UNION ALL SELECT component, genotype, round(value, 6) FROM m""",
+}
 ORACLE |= {f"{name}_wide": ORACLE[name] for name in ("reference_lookup", "reference_interval")}

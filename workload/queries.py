@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paircall.functions import bases, cigar, flags, likelihood, logspace, quality, tags
 from paircall.functions import regions as region_functions
-from paircall.models import MODELS, expected_statistics, score, training_table
-from paircall.models.density import model_by_name
+from paircall.models import MODELS, BinomialParams, expected_statistics, score, training_table
+from paircall.models.density import LOGLIKS, Binomial, model_by_name
 from paircall.operators import labels, pileup, positions, ranges, reads, reference, sites
 from paircall.plans import classify, paired_observations, train, training_sites
 from paircall.plans.classify import scored_sites
-from paircall.schema import COUNTS, POSTERIORS
-from paircall.sinks import results_table, results_text
-from paircall.sinks.tables import counts_table
+from paircall.schema import COUNTS, GENOTYPES, JOINT_GENOTYPES, POSTERIORS
+from paircall.sinks import results_table, results_text, write_params
+from paircall.sinks.tables import counts_table, in_order
+from paircall.sources import read_params
 from paircall.sources.sam import parse_contigs, parse_read_groups
 from paircall.sources.tables import parse_positions
 
@@ -76,6 +78,13 @@ def flag_filter(spark, sf):
     )
 
 
+@query
+def no_contig(spark, sf):
+    """Reads that lie on no contig go with the flag filter."""
+    df = inputs.reads(spark, sf).withColumn("chrom", F.when(F.col("pos") % 7 == 0, "*").otherwise(F.col("chrom")))
+    return reads.filter_flags(df).groupBy("sample", "chrom").agg(F.count("*").alias("reads"), F.sum("pos").alias("sum_pos"))
+
+
 @query
 def flag_decode(spark, sf):
     df = reads.decode_flags(inputs.reads(spark, sf))
@@ -469,6 +478,52 @@ def counts_rows(spark, sf):
     return rounded(counts_table(site_counts(spark, sf)), [])
 
 
+@query
+def output_order(spark, sf):
+    """Places of the sites in the order in which the sinks write them."""
+    ordered = in_order(counts_table(site_counts(spark, sf)), "position").withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))
+    return rounded(ordered.select("chrom", "position", place.alias("place")), [])
+
+
+class Tempered(Binomial):
+    """A density of one's own: every read counts half."""
+
+    name = "tempered"
+
+    def with_loglik(self, sites, params):
+        found = super().with_loglik(sites, params)
+        return found.withColumns({c: F.col(c) / 2 for c in LOGLIKS})
+
+
+@query
+def score_own_density(spark, sf):
+    return rounded(scored(spark, sf, Tempered()), POSTERIORS)
+
+
+def parameter_rows(spark, sf):
+    """Rows of a parameter table from the items: weights of the joint genotypes, mu between 0 and 1."""
+    items = table(spark, sf, "lineitem")
+    joint = F.element_at(F.array(*map(F.lit, JOINT_GENOTYPES)), (F.col("l_partkey") % 9 + 1).cast("int"))
+    weights = items.groupBy(joint.alias("genotype")).agg(F.sum("l_quantity").alias("value")).select(F.lit("PI").alias("component"), "genotype", "value")
+    single = F.element_at(F.array(*map(F.lit, GENOTYPES)), (F.col("l_partkey") % 3 + 1).cast("int"))
+    share = F.avg(F.when(F.col("l_linenumber") > 2, 0.75).otherwise(0.25))
+    mu = items.groupBy(F.when(F.col("l_linestatus") == "F", "mu_N").otherwise("mu_T").alias("component"), single.alias("genotype")).agg(share.alias("value"))
+    return weights.unionByName(mu)
+
+
+@query
+def parameters_round_trip(spark, sf):
+    """Parameters of the items, written as a table and read back; weights add up to one."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{folder}/parameters-{uuid.uuid4().hex}"
+    write_params(spark, BinomialParams.from_rows([tuple(r) for r in parameter_rows(spark, sf).collect()]), path)
+    rows = read_params(spark, path, "binomial").to_rows()
+    return rounded(spark.createDataFrame(rows, "component string, genotype string, value double"), ["value"])
+
+
 @query
 def classify_reads(spark, sf):
     """From SAM text to calls: flag filter, pileup, reference, counting, quality model."""
