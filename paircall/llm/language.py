@@ -28,7 +28,7 @@ from .common import row_of, stored, text_or_empty
 
 WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
 FLUSH = 400_000  # counters a task holds
-MEMO = 200_000
+MEMO = 400_000
 DOCS = 256
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -36,7 +36,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 
 def letter_words(text: str) -> list[str]:
     found = _RUN.findall(text.lower())
-    if all(map(str.isalpha, found)):
+    if text.isascii() or all(map(str.isalpha, found)):
         return found
     # \w also holds numerals such as fractions; they separate words like any other sign.
     return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
@@ -47,21 +47,12 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def count_units(docs: DataFrame, language: str) -> DataFrame:
-    """(language, kind, unit, n) over all texts: kind 0 for words, else the length of the n-grams."""
+def count_words(docs: DataFrame, language: str) -> DataFrame:
+    """(language, unit, n): how often each word occurs in the texts of each language."""
 
     def flush(counts: dict[str, Counter]) -> pd.DataFrame:
-        rows = []
-        for lang, words in counts.items():
-            parts = [Counter() for _ in range(LONGEST + 1)]
-            parts[0] = words
-            for word, c in words.items():
-                for n in range(1, LONGEST + 1):
-                    part = parts[n]
-                    for gram in grams(word, n):
-                        part[gram] += c
-            rows += [(lang, kind, unit, c) for kind, part in enumerate(parts) for unit, c in part.items()]
-        return pd.DataFrame(rows, columns=["language", "kind", "unit", "n"])
+        names = [lang for lang, words in counts.items() for _ in range(len(words))]
+        return pd.DataFrame({"language": names, "unit": [w for c in counts.values() for w in c], "n": [n for c in counts.values() for n in c.values()]})
 
     def task(batches):
         counts: dict[str, Counter] = {}
@@ -75,30 +66,63 @@ def count_units(docs: DataFrame, language: str) -> DataFrame:
             yield flush(counts)
 
     texts = docs.where(F.col(language).isNotNull()).select(F.col(language).alias("language"), text_or_empty().alias("text"))
-    parts = texts.mapInPandas(task, "language string, kind int, unit string, n long")
-    return parts.groupBy("kind", "unit", "language").agg(F.sum("n").alias("n"))
+    parts = texts.mapInPandas(task, "language string, unit string, n long")
+    return parts.groupBy("language", "unit").agg(F.sum("n").alias("n"))
+
+
+def count_units(words: DataFrame) -> DataFrame:
+    """(kind, language, unit, n) for n-grams of each length, from the counts of whole words."""
+
+    def task(batches):
+        for batch in batches:
+            counts: dict[tuple[int, str], Counter] = {}
+            for lang, word, c in batch.itertuples(index=False):
+                for n in range(1, LONGEST + 1):
+                    part = counts.setdefault((n, lang), Counter())
+                    for gram in grams(word, n):
+                        part[gram] += c
+            for (n, lang), part in counts.items():
+                yield pd.DataFrame({"kind": n, "language": lang, "unit": list(part), "n": list(part.values())})
+
+    parts = words.select("language", "unit", "n").mapInPandas(task, "kind int, language string, unit string, n long")
+    return parts.groupBy("kind", "language", "unit").agg(F.sum("n").alias("n"))
 
 
 class Model:
     """Log frequencies of units by language; `tables` has a dict from unit to row and a matrix for each kind."""
 
     def __init__(self, languages: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
-        self.languages, self.tables = languages, tables
+        self.languages, self.tables, self.memo = languages, tables, None
 
-    def word(self, word: str) -> np.ndarray:
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the word's own, or the mean of its known n-grams of the greatest length that has any."""
+        found = np.zeros((len(words), len(self.languages)), dtype=np.float32)
         known, values = self.tables[0]
-        if word in known:
-            return values[known[word]]
+        whole = [known.get(w, -1) for w in words]
+        here = np.flatnonzero(np.array(whole, dtype=np.int64) >= 0)
+        found[here] = values[[whole[i] for i in here]]
+        left = [i for i, at in enumerate(whole) if at < 0]
         for n in range(LONGEST, 0, -1):
             known, values = self.tables[n]
-            rows = [known[g] for g in grams(word, n) if g in known]
-            if rows:
-                return values[rows].mean(0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+            rows, sizes, scored, rest = [], [], [], []
+            for i in left:
+                own = [known[g] for g in grams(words[i], n) if g in known]
+                if own:
+                    rows += own
+                    sizes.append(len(own))
+                    scored.append(i)
+                else:
+                    rest.append(i)
+            if scored:
+                size = np.array(sizes)
+                found[scored] = np.add.reduceat(values[rows], np.cumsum(size) - size, axis=0) / size[:, None]
+            left = rest
+        return found
 
 
 def learn(docs: DataFrame, language: str = "lang") -> Model:
-    counts = stored(count_units(docs, language), "units")
+    words = stored(count_words(docs, language).withColumn("kind", F.lit(0)), "words")
+    counts = words.unionByName(stored(count_units(words), "units"))
     totals = counts.groupBy("kind", "language").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(totals["language"]))
     total = {(k, lang): n for k, lang, n in totals[["kind", "language", "n"]].itertuples(index=False)}
@@ -118,19 +142,30 @@ def learn(docs: DataFrame, language: str = "lang") -> Model:
     return Model(languages, tables)
 
 
-class Memo(dict):
-    """Numbers of words, with a growing table of their scores."""
+class Memo:
+    """Numbers of words and a table of their scores; forgotten when full."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, np.zeros((1024, len(model.languages)), dtype=np.float32)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.model.word(word)
-        self[word] = at
-        return at
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.model.languages)), dtype=np.float32)
+
+    def numbers(self, lists: list[list[str]]) -> list[list[int]]:
+        words = set().union(*lists)
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > MEMO:
+            self._clear()
+            new = list(words)
+        if new:
+            self.rows = np.concatenate([self.rows, self.model.scores(new)])
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        # Few words in a small table: it stays in the processor's cache, unlike the one of all words.
+        at = self.at
+        here = {w: at[w] for w in words}.__getitem__
+        return [list(map(here, words)) for words in lists]
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
@@ -142,16 +177,14 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     def task(batches):
         import pyarrow as pa
 
+        # A worker keeps the model, and with it the words seen, from task to task.
         model = shared.value
-        memo = Memo(model)
+        memo = model.memo = model.memo or Memo(model)
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):
                 part = batch.slice(at, DOCS)
-                if len(memo) > MEMO:
-                    memo = Memo(model)
                 names, scores = [], []
-                for text in part.column("text").to_pylist():
-                    ids = [memo[w] for w in letter_words(text)]
+                for ids in memo.numbers([letter_words(t) for t in part.column("text").to_pylist()]):
                     if not ids or not model.languages:
                         names.append(UNKNOWN)
                         scores.append(0.0)
