@@ -11,8 +11,8 @@ brought together first, and only what is still undecided is sorted.
    document only is dropped. What remains open: an anchor with several different runs, which may share some strings.
    Only the smallest document of each run can still lose part of it, and only if another run of the anchor has the
    same eight bytes left or right of the anchor.
-3. Those runs' bytes are fetched from their documents and refined, all runs of an anchor in one task: each position
-   gets the bucket of its 8-byte gram; buckets are refined to 16, 32 and 50 bytes by sorting on a position's bucket and
+3. Those runs' bytes are fetched from their documents and refined, all runs with the same anchor and the same bytes on
+   one side in one task (a frequent anchor among changing neighbours is no hot key). Each position gets the bucket of its 8-byte gram; buckets are refined to 16, 32 and 50 bytes by sorting on a position's bucket and
    the bucket at the later offset, each step reusing the updated buckets of the step before. Positions alone in their
    bucket are final and leave. In a bucket of 50 bytes all strings are equal; those above the smallest doc_id go.
 4. Documents get their decisions back, by block; spans are merged and cut out.
@@ -48,7 +48,8 @@ ENTRY = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("left", "<u2"), ("right",
 NAME = np.dtype([("uid", "<i8"), ("run", "<u8")])
 PIECE = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("uid", "<i8"), ("doc", "<i8"), ("size", "<u2")])
 CUT = np.dtype([("uid", "<i8"), ("run", "<u8"), ("first", "u1"), ("last", "u1")])
-WHOLE, ASK, SOME, TEXT, OPEN = range(5)  # kinds of packed rows
+WHOLE, LEFT, RIGHT, SOME, TEXT, OPEN = range(6)  # kinds of packed rows
+SIDES = {LEFT: "left", RIGHT: "right"}
 _PACKED = "key long, kind int, data binary"
 
 
@@ -211,39 +212,38 @@ def _names(rows: np.ndarray) -> np.ndarray:
     return names
 
 
-def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all entries of some anchors: names of the runs that go as a whole, and of those still open."""
+def meet(rows: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Of all entries of some anchors: names of the runs that go as a whole, and by side of those still open."""
     rows, least = smallest(rows)
     fresh = np.ones(len(rows), dtype=bool)
     fresh[1:] = rows["anchor"][1:] != rows["anchor"][:-1]
     group = np.cumsum(fresh) - 1
-    whole = rows[~least]
+    whole = _names(rows[~least])
     rest, group = rows[least], group[least]
-    alive = np.zeros(len(rest), dtype=bool)
-    for side in ("left", "right"):
+    ask = {}
+    for kind, side in SIDES.items():
         # Open if another run of the anchor, with another document, has the same bytes on this side.
-        order = np.lexsort((rest["doc"], rest[side], group))
+        order = np.lexsort((rest[side], group))
         g, s, d, r = group[order], rest[side][order], rest["doc"][order], rest["run"][order]
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-        begins = np.flatnonzero(fresh)
-        if not len(begins):
-            continue
-        sub = np.cumsum(fresh) - 1
-        differs = np.minimum.reduceat(r, begins) != np.maximum.reduceat(r, begins)
-        several = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
-        alive[order] |= (differs & several)[sub] & (s != 0)
-    return _names(whole), _names(rest[alive])
+        begins, sub = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        if len(begins):
+            differs = np.minimum.reduceat(r, begins) != np.maximum.reduceat(r, begins)
+            several = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
+            order = order[(differs & several)[sub] & (s != 0)]
+        ask[kind] = _names(rest[order])
+    return whole, ask
 
 
 def decide(found: DataFrame, ranges: int, blocks: int) -> DataFrame:
-    """By block: names of the runs that go as a whole (WHOLE), and of those whose bytes are needed (ASK)."""
+    """By block: names of the runs that go as a whole (WHOLE), and of those whose bytes are needed (LEFT, RIGHT)."""
 
     def group(key, part: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= ranges:
             return pd.DataFrame({"key": part["key"] - ranges, "kind": part["kind"], "data": part["data"]})
         whole, ask = meet(unpacked(part, OPEN, ENTRY))
-        return pd.concat([packed(_block(whole["uid"], blocks), WHOLE, whole), packed(_block(ask["uid"], blocks), ASK, ask)])
+        return pd.concat([packed(_block(n["uid"], blocks), kind, n) for kind, n in {WHOLE: whole, **ask}.items()])
 
     return found.groupBy("key").applyInPandas(group, _PACKED)
 
@@ -259,38 +259,47 @@ def fetch(decided: DataFrame, docs: DataFrame, ranges: int, blocks: int) -> Data
     texts = docs.where("doc_id IS NOT NULL").select(
         _block_column(blocks).alias("key"), F.lit(TEXT).alias("kind"), "data", "doc_id", "uid"
     )
-    asked = decided.where(F.col("kind") == ASK).select("key", "kind", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"))
+    asked = decided.where(F.col("kind").isin(LEFT, RIGHT)).select("key", "kind", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"))
 
     def group(table):
         import pyarrow as pa
 
         kind = table.column("kind").to_numpy()
-        names = np.frombuffer(b"".join(table.column("data").filter(pa.array(kind == ASK)).to_pylist()), dtype=NAME)
+        names = {k: np.frombuffer(b"".join(table.column("data").filter(pa.array(kind == k)).to_pylist()), dtype=NAME) for k in SIDES}
         own = table.filter(pa.array(kind == TEXT))
         _, once = np.unique(own.column("uid").to_numpy(), return_index=True)
-        own = own.take(pa.array(once[np.isin(own.column("uid").to_numpy()[once], names["uid"])]))
+        wanted = np.concatenate([n["uid"] for n in names.values()])
+        own = own.take(pa.array(once[np.isin(own.column("uid").to_numpy()[once], wanted)]))
         out = [packed(np.empty(0, np.int64), OPEN, np.empty(0, PIECE))]
         texts, uid, doc = own.column("data").to_pylist(), own.column("uid").to_numpy(), own.column("doc_id").to_numpy()
         for number, _, held in chunks(texts):
             runs = Runs(held)
             mine = number[runs.text]
-            some = np.flatnonzero(_member(uid[mine], runs.run, names)) if len(mine) else mine
-            if not len(some):
-                continue
-            rows = np.empty(len(some), dtype=PIECE)
-            rows["anchor"], rows["run"], rows["uid"], rows["doc"] = runs.anchor[some], runs.run[some], uid[mine[some]], doc[mine[some]]
-            rows["size"] = runs.count[some] + LENGTH - 1
-            _, once = np.unique(mix(rows["uid"].view(np.uint64), rows["run"]), return_index=True)
-            for key in np.unique(_range(rows["anchor"][once], ranges)):
-                here = once[_range(rows["anchor"][once], ranges) == key]
-                bytes_of = b"".join(held[runs.text[some[i]]][f : f + rows["size"][i]] for i, f in zip(here, runs.first[some[here]], strict=True))
-                data = len(here).to_bytes(4, "little") + rows[here].tobytes() + bytes_of
-                out.append(pd.DataFrame({"key": [key], "kind": [OPEN], "data": [data]}))
+            for side, named in names.items():
+                some = np.flatnonzero(_member(uid[mine], runs.run, named))
+                out.append(_pieces(runs, held, some, uid[mine[some]], doc[mine[some]], side, ranges))
         return pa.Table.from_pandas(pd.concat(out), schema=_packed_schema(), preserve_index=False)
 
     return texts.unionByName(asked).groupBy("key").applyInArrow(group, _PACKED)
 
 
+def _pieces(runs: Runs, held: list[bytes], some: np.ndarray, uid: np.ndarray, doc: np.ndarray, side: int, ranges: int) -> pd.DataFrame:
+    """The chosen runs with their bytes, by range of anchor and side; a run that a document repeats counts once."""
+    _, once = np.unique(mix(uid.view(np.uint64), runs.run[some]), return_index=True)
+    some, uid, doc = some[once], uid[once], doc[once]
+    rows = np.empty(len(some), dtype=PIECE)
+    rows["anchor"], rows["run"], rows["uid"], rows["doc"] = runs.anchor[some], runs.run[some], uid, doc
+    rows["size"] = runs.count[some] + LENGTH - 1
+    beside = getattr(runs, SIDES[side])[some].astype(np.uint64) + np.uint64(side << 16)
+    keys = _range(mix(runs.anchor[some], beside), ranges)
+    found = []
+    for key in np.unique(keys):
+        here = np.flatnonzero(keys == key)
+        body = b"".join(held[t][f : f + n] for t, f, n in zip(runs.text[some[here]], runs.first[some[here]], rows["size"][here], strict=True))
+        found.append(len(here).to_bytes(4, "little") + rows[here].tobytes() + body)
+    return pd.DataFrame({"key": np.unique(keys), "kind": np.full(len(found), OPEN, dtype=np.int32), "data": found})
+
+
 def refine(data: bytes, starts: np.ndarray, doc: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which of the 50-byte strings at `starts` also start in a document with a smaller number than their `doc`.
 
@@ -298,11 +307,10 @@ def refine(data: bytes, starts: np.ndarray, doc: np.ndarray, owner: np.ndarray)
     rank of (bucket, bucket n later). Strings alone in their bucket leave before the next sort.
     """
     bucket = _ranks(words(data))
-    alive, reach = starts, 8
+    alive = starts
     for step in (8, 16, LENGTH - 32):
         # Every position a later step may look at is refined, so updates are reused.
         bucket = _refined(bucket, step)
-        reach += step
         sizes = np.bincount(bucket[alive])
         alive = alive[sizes[bucket[alive]] > 1]
     order = np.argsort(starts, kind="stable")
