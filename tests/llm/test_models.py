@@ -90,7 +90,7 @@ def plain(model, line):
         weights = np.exp(logits - logits.max())
         hidden = np.maximum(weights @ value[seen] / weights.sum() + own[line[i]], 0)
         total = np.empty(attention.LEAVES)
-        outer = hidden @ p["cluster"] + p["cluster0"]
+        outer = hidden @ p["cluster"] + p["cluster0"] + p["pair"][line[i]]
         outer -= np.log(np.exp(outer).sum())
         for c in range(attention.SIDE):
             inner = hidden @ p["member"][c] + p["member0"][c]
@@ -140,5 +140,5 @@ def test_slices_cover_every_text(spark, vocabulary):
     texts = ["", "one", " ".join(map(str, range(1000)))]
     found = lm_scoring.draw_slices(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary, 1.0).collect()
     ids = [np.frombuffer(r.ids, "<u2") for r in found]
-    assert len(ids) == 1 + 1 + 42 and sum(x[0] == lm_scoring.END for x in ids) == 3
+    assert len(ids) == 1 + 1 + 63 and sum(x[0] == lm_scoring.END for x in ids) == 3
     assert len(lm_scoring.draw_slices(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary, 0.0).collect()) == 3
