@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, text_or_empty
-from .subwords import encoder
+from .subwords import MEMO, encoder
 
 END_ID = 2
 # Fixed value: added to a rotated checksum.
@@ -68,8 +68,8 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """Write `docs` in ascending doc_id order to `folder`; returns the manifest.
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
+    """Write `docs` in ascending doc_id order to `folder`; returns the manifest. `memo` trades a worker's memory for time.
 
     Rows are range-partitioned by doc_id and a hash of the text, so not even a repeated doc_id makes a partition large.
     A task holds one batch of rows at a time.
@@ -80,22 +80,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         files, root = _files(folder)
-        name, out, at, ids, offsets, coder = f"shard-{uuid.uuid4().hex}", None, 0, 0, [], encoder(vocabulary)
+        name, out, at, ids, offsets, coder = f"shard-{uuid.uuid4().hex}", None, 0, 0, [], encoder(vocabulary, memo)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
         for batch in batches:
             if out is None:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{name}.bin")
-            for i in range(0, len(batch), BATCH):
-                part = batch.iloc[i : i + BATCH]
-                packed = coder.batch(part["text"].tolist())
-                for doc, data in zip(part["doc_id"], packed, strict=True):
-                    known = not pd.isna(doc)
-                    record = frame(struct.pack(PAYLOAD_HEAD, known, coder.dtype.itemsize, int(doc) if known else 0) + data + end)
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                packed = coder.batch(part.column("text").to_pylist())
+                for doc, data in zip(part.column("doc_id").to_pylist(), packed, strict=True):
+                    known = doc is not None
+                    record = frame(struct.pack(PAYLOAD_HEAD, known, coder.dtype.itemsize, doc if known else 0) + data + end)
                     offsets.append(at)
                     at += len(record)
                     ids += len(data) // coder.dtype.itemsize + 1
@@ -104,11 +105,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
             out.close()
             with files.open_output_stream(f"{root}/{name}.idx") as index:
                 index.write(np.array(offsets, dtype="<u8").tobytes())
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "shard": [name], "records": [len(offsets)], "ids": [ids]})
+            made = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(offsets)]), pa.array([ids])]
+            yield pa.RecordBatch.from_arrays(made, names=["part", "shard", "records", "ids"])
 
     # One row per shard: the window runs over that list only.
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    shards = rows.mapInPandas(_by_object(task), _SHARDS)
+    shards = rows.mapInArrow(task, _SHARDS)
     spark = docs.sparkSession
     shards.write.parquet(f"{folder}/shards")
     shards = spark.read.schema(_SHARDS).parquet(f"{folder}/shards")
@@ -116,15 +118,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
     return manifest(spark, folder)
 
 
-def _by_object(task):
-    """doc_id as objects: a batch with nulls must not turn integers into doubles."""
-
-    def run(batches):
-        return task(batch.assign(doc_id=batch["doc_id"].astype("object")) for batch in batches)
-
-    return run
-
-
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_SHARDS + ", start long").parquet(f"{folder}/manifest")
 
@@ -203,11 +196,11 @@ def shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
     return ordered.mapInPandas(task, "turn long, doc_id long, n_tokens long, ids array<int>")
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """Write `docs` to a new shared folder and return the digest rows read back from the files."""
     spark = docs.sparkSession
     folder = new_folder(spark, "records")
-    write(docs, folder, vocabulary, end_id)
+    write(docs, folder, vocabulary, end_id, memo)
     return read(spark, folder, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
