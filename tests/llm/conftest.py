@@ -15,6 +15,11 @@ def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
+@pytest.fixture(scope="session")
+def ranks():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.tiktoken")
+
+
 @pytest.fixture(scope="session")
 def tables():
     if not os.path.isdir(SF):

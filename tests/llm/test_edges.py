@@ -97,14 +97,14 @@ def test_token_records(edge, empty, vocabulary):
     assert token_records.encode(empty, vocabulary).count() == 0
 
 
-def test_lm_scoring(edge, empty, vocabulary):
-    found = lm_scoring.score(edge, vocabulary)
+def test_lm_scoring(edge, empty, ranks):
+    found = lm_scoring.score(edge, ranks)
     assert ids(found) == IDS
     by = {r.doc_id: r for r in found.collect()}
     assert by[3].n_tokens == by[4].n_tokens == by[5].n_tokens == 1 and by[3].score == by[4].score < 0
     assert by[6].n_tokens == 80_001
-    assert lm_scoring.score(empty, vocabulary).count() == 0
-    everything_out = lm_scoring.score(edge, vocabulary, F.lit(True))
+    assert lm_scoring.score(empty, ranks).count() == 0
+    everything_out = lm_scoring.score(edge, ranks, F.lit(True))
     assert {(r.train_tokens, r.n_known) for r in everything_out.collect()} == {(0, 0)}
 
 

@@ -119,7 +119,7 @@ def test_leaf_shares(model):
     assert (vocabulary.share[vocabulary.leaf < attention.COMMON] == 0).all()
 
 
-def test_lm_scoring(spark, tables, vocabulary, monkeypatch):
+def test_lm_scoring(spark, tables, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAVY", 50)  # most words take the join
     docs = {r.doc_id: words(r.text or "") for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
@@ -136,9 +136,9 @@ def test_lm_scoring(spark, tables, vocabulary, monkeypatch):
     assert sum(r.score for r in held) > 1.3 * sum(r.base_score for r in held)  # learned something even from 160 texts
 
 
-def test_slices_cover_every_text(spark, vocabulary):
+def test_slices_cover_every_text(spark, ranks):
     texts = ["", "one", " ".join(map(str, range(1000)))]
-    found = lm_scoring.draw_slices(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary, 1.0).collect()
+    found = lm_scoring.draw_slices(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, 1.0).collect()
     ids = [np.frombuffer(r.ids, "<u2") for r in found]
     assert len(ids) == 1 + 1 + 63 and sum(x[0] == lm_scoring.END for x in ids) == 3
-    assert len(lm_scoring.draw_slices(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary, 0.0).collect()) == 3
+    assert len(lm_scoring.draw_slices(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, 0.0).collect()) == 3
