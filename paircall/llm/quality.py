@@ -5,7 +5,7 @@ for words in capitals), each hashed to one of 2048 rows. Every row has a sparse
 vector is the sum of the index vectors of its neighbours at distances 1 and 2, over all texts. Tasks count neighbour
 pairs and send one 2048 x 32 table each, which Spark adds up; the sums are whole numbers, so reruns agree exactly.
 
-A document's features are the mean and the deviation of its units' vectors and its length. The network is fitted on the
+A document's features are the mean and the deviation of its units' vectors, how often units repeat, and its length. The network is fitted on the
 driver to at most `sample` labelled rows (those with the smallest hashes), and a temperature is then fitted to a fifth
 of them that the network has not seen, so that scores are probabilities. Scoring covers whole texts of all documents.
 
@@ -21,7 +21,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,23 +66,27 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     """Context vectors over all texts, summed by Spark; ROWS x DIM numbers reach the driver, whatever the input."""
 
     def task(batches):
-        memo, pairs = Units(), np.zeros(ROWS * ROWS, dtype=np.int64)
+        import pyarrow as pa
+
+        memo, pairs = Units(), np.zeros(ROWS * ROWS)
         for batch in batches:
-            for text in batch["text"]:
-                ids = units(text, memo)
-                for k in range(1, REACH + 1):
-                    if len(ids) > k:
-                        np.add.at(pairs, ids[:-k] * ROWS + ids[k:], 1)
+            for at in range(0, batch.num_rows, DOCS):
+                for text in batch.column("text").slice(at, DOCS).to_pylist():
+                    ids = units(text, memo)
+                    for k in range(1, REACH + 1):
+                        if len(ids) > k:
+                            np.add.at(pairs, ids[:-k] * ROWS + ids[k:], 1)
         pairs = pairs.reshape(ROWS, ROWS)
-        sums = (pairs + pairs.T) @ index_vectors().astype(np.int64)
+        sums = pairs @ index_vectors() + pairs.T @ index_vectors()  # whole numbers, exact in doubles
         seen = np.flatnonzero(pairs.any(0) | pairs.any(1))
         if len(seen):
-            yield pd.DataFrame({"row": seen, "sums": list(sums[seen])})
+            rows = pa.array(sums[seen].astype(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), rows], names=["row", "sums"])
 
-    parts = docs.select(text_or_empty().alias("text")).mapInPandas(task, "row int, sums array<long>")
-    added = parts.select("row", F.posexplode("sums")).groupBy("row", "pos").agg(F.sum("col").alias("total")).toPandas()
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(task, "row int, sums array<long>")
+    added = parts.select("row", F.posexplode("sums")).groupBy("row", "pos").agg(F.sum("col").alias("total")).toArrow()
     table = np.zeros((ROWS, DIM))
-    table[added["row"].to_numpy(int), added["pos"].to_numpy(int)] = added["total"].to_numpy(float)
+    table[added.column("row").to_numpy(), added.column("pos").to_numpy()] = added.column("total").to_numpy()
     return table
 
 
@@ -94,16 +97,20 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: list[str], vectors: np.ndarray, memo: Units) -> np.ndarray:
-    """Means, deviations and log length; zeros for a text without units."""
+    """Means, deviations, shares of units equal to the one or two before, and log length; zeros for a text without units."""
     counts = np.zeros((len(texts), ROWS), dtype=np.float32)
+    again = np.zeros((len(texts), REACH), dtype=np.float32)
     for i, text in enumerate(texts):
         ids = units(text, memo)
         counts[i] = np.bincount(ids, minlength=ROWS) if len(ids) else 0
+        again[i] = [(ids[k:] == ids[:-k]).mean() if len(ids) > k else 0 for k in range(1, REACH + 1)]
     n = counts.sum(1, keepdims=True)
     share = counts / np.maximum(n, 1)
     mean = share @ vectors.astype(np.float32)
     square = share @ (vectors**2).astype(np.float32)
-    return np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n) / 10])
+    # The deviation of few units is too small by about this factor.
+    spread = np.sqrt(np.maximum(square - mean**2, 0) * n / np.maximum(n - 1, 1))
+    return np.hstack([mean, spread, again, np.log1p(n) / 10])
 
 
 class Network:
@@ -167,17 +174,20 @@ def labelled(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: in
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
 
     def task(batches):
+        import pyarrow as pa
+
         memo = Units()
         for batch in batches:
-            for i in range(0, len(batch), DOCS):
-                part = batch.iloc[i : i + DOCS]
-                x = pooled(part["text"].tolist(), vectors, memo)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": list(x.astype(np.float32))})
-
-    found = rows.mapInPandas(task, "doc_id long, label double, x array<float>").toPandas()
-    found = found.assign(key=[tuple(x) for x in found["x"]]).sort_values(["doc_id", "key"])
-    x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), 2 * vectors.shape[1] + 1)
-    return x, found["label"].to_numpy(float)
+            for i in range(0, batch.num_rows, DOCS):
+                part = batch.slice(i, DOCS)
+                x = pooled(part.column("text").to_pylist(), vectors, memo).astype("<f4")
+                made = pa.array([row.tobytes() for row in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), made], names=["doc_id", "label", "x"])
+
+    rows = rows.withColumn("label", F.col("label").cast("double")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = rows.mapInArrow(task, "doc_id long, label double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").astype(float)
+    return x.reshape(len(found), 2 * vectors.shape[1] + REACH + 1), found.column("label").to_numpy()
 
 
 def score(docs: DataFrame, network: Network, vectors: np.ndarray, columns: list[str] | None = None) -> DataFrame:
