@@ -42,20 +42,25 @@ BITS = 64
 SCATTER = 0x9E3779B97F4A7C15  # an odd multiplier, to deal a shard's fingerprints to its blocks
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Majority bits of the shingles' hashes."""
+def shingle_hashes(parts: list[str], shingle: int) -> np.ndarray:
+    """Hashes of the shingles of some words, one by one; of all words together where these are fewer."""
     import xxhash
 
-    parts = words(text)
-    if not parts:
-        return 0
     joined = " ".join(parts).encode()
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     size = min(shingle, len(parts))
     begins = np.concatenate([[0], gaps + 1])[: len(parts) - size + 1]
     ends = np.concatenate([gaps, [len(joined)]])[size - 1 :]
     cuts = map(joined.__getitem__, map(slice, begins.tolist(), ends.tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), dtype="<u8", count=len(begins))
+    return np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), dtype="<u8", count=len(begins))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Majority bits of the shingles' hashes."""
+    parts = words(text)
+    if not parts:
+        return 0
+    hashes = shingle_hashes(parts, shingle)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # a very long text must not make a large table of bits
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
