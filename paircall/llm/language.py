@@ -1,10 +1,11 @@
 """Language identification by word-first backoff.
 
 Learning counts the words of each language and their character n-grams of four letters down to one (with marks at the
-word's ends) over all texts with a language. The model holds the most frequent units of each kind, WORDS words and
-GRAMS n-grams of each length; that bounds its size, and rarer units fall back to the next shorter kind, which is the
-method. A document's words are scored one by one: a known word by its log frequency in each language; an unseen one by
-the mean of its known 4-grams; if none is known, by 3-grams, and so on. The language with the highest sum wins.
+word's ends) over all texts with a language. All learned units count; they stay in a stored table. The WORDS most
+frequent words are sent to the tasks, for speed only; every other word of a text is looked up by a join. A document's
+words are scored one by one: a known word by its log frequency in each language; an unseen one by the mean of its known
+4-grams; if none is known, by 3-grams, and so on. The language with the highest sum wins. None of the words that are
+joined is frequent enough to make a hot key.
 
 Counting runs in tasks that flush their counters when these are full, and Spark adds the parts up.
 
@@ -23,12 +24,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .common import row_of, stored, text_or_empty
 
-WORDS, GRAMS, LONGEST = 60_000, 40_000, 4
+WORDS, LONGEST = 60_000, 4  # words that are sent to the tasks
 FLUSH = 400_000  # counters a task holds
-MEMO = 400_000
 DOCS = 256
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -89,10 +90,13 @@ def count_units(words: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of units by language; `tables` has a dict from unit to row and a matrix for each kind."""
+    """Log frequencies of units by language; `tables` has a dict from unit to row and a matrix for each kind.
+
+    A learned model has the frequent words only in `tables`, and the scores of all units in `units` (kind, unit, scores).
+    """
 
     def __init__(self, languages: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
-        self.languages, self.tables, self.memo = languages, tables, None
+        self.languages, self.tables, self.units = languages, tables, None
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: the word's own, or the mean of its known n-grams of the greatest length that has any."""
@@ -125,77 +129,91 @@ def learn(docs: DataFrame, language: str = "lang") -> Model:
     counts = words.unionByName(stored(count_units(words), "units"))
     totals = counts.groupBy("kind", "language").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(totals["language"]))
+    if not languages:
+        return Model([], [])
     total = {(k, lang): n for k, lang, n in totals[["kind", "language", "n"]].itertuples(index=False)}
-    column = {lang: i for i, lang in enumerate(languages)}
-    tables = []
-    for kind in range(LONGEST + 1):
-        units = counts.where(F.col("kind") == kind).groupBy("unit").agg(
-            F.sum("n").alias("all"), F.collect_list(F.struct("language", "n")).alias("each")
-        )
-        rows = units.orderBy(F.col("all").desc(), "unit").limit(GRAMS if kind else WORDS).collect()
-        n = np.zeros((len(rows), len(languages)))
-        for i, row in enumerate(rows):
-            for lang, c in row["each"]:
-                n[i, column[lang]] = c
-        sums = np.array([total.get((kind, lang), 0) for lang in languages], dtype=float)
-        tables.append(({row["unit"]: i for i, row in enumerate(rows)}, np.log10((n + 0.5) / (sums + 0.5 * len(rows) + 1)).astype(np.float32)))
-    return Model(languages, tables)
-
-
-class Memo:
-    """Numbers of words and a table of their scores; forgotten when full."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.languages)), dtype=np.float32)
-
-    def numbers(self, lists: list[list[str]]) -> list[list[int]]:
-        words = set().union(*lists)
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > MEMO:
-            self._clear()
-            new = list(words)
-        if new:
-            self.rows = np.concatenate([self.rows, self.model.scores(new)])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        # Few words in a small table: it stays in the processor's cache, unlike the one of all words.
-        at = self.at
-        here = {w: at[w] for w in words}.__getitem__
-        return [list(map(here, words)) for words in lists]
+    each = F.array(*(F.sum(F.when(F.col("language") == lang, F.col("n")).otherwise(0)) for lang in languages))
+    units = stored(counts.groupBy("kind", "unit").agg(F.sum("n").alias("all"), each.alias("each")), "units")
+    sizes = {kind: n for kind, n in units.groupBy("kind").count().collect()}
+
+    def scores(kind: int):
+        sums = [total.get((kind, lang), 0) + 0.5 * sizes.get(kind, 0) + 1 for lang in languages]
+        return F.array(*(F.log10((F.col("each")[i] + 0.5) / F.lit(float(s))) for i, s in enumerate(sums)))
+
+    kinds = [units.where(F.col("kind") == kind).select("kind", "unit", "all", scores(kind).alias("scores")) for kind in range(LONGEST + 1)]
+    rows = kinds[0].orderBy(F.col("all").desc(), "unit").limit(WORDS).collect()
+    values = np.array([row["scores"] for row in rows], dtype=np.float32).reshape(len(rows), len(languages))
+    model = Model(languages, [({row["unit"]: i for i, row in enumerate(rows)}, values)])
+    model.units = kinds
+    return model
+
+
+def _grams(n: int) -> Column:
+    """The n-grams of `word`, as grams() has them; none if it is shorter."""
+    marked = F.concat(F.lit("<"), "word", F.lit(">")) if n > 1 else F.col("word")
+    begins = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(begins, lambda i: F.substring(marked, i, n))
+
+
+def looked_up(words: DataFrame, model: Model) -> DataFrame:
+    """(word, scores) for distinct `word`, from all learned units; no row for one without any known unit."""
+    left = stored(words.join(model.units[0].select(F.col("unit").alias("word"), "scores"), "word", "left"), "looked")
+    found, left = left.where("scores IS NOT NULL"), left.where("scores IS NULL").select("word")
+    mean = F.array(*(F.avg(F.col("scores")[i]) for i in range(len(model.languages)))).alias("scores")
+    for n in range(LONGEST, 0, -1):
+        parts = left.select("word", F.explode(_grams(n)).alias("unit"))
+        means = parts.join(model.units[n].select("unit", "scores"), "unit").groupBy("word").agg(mean)
+        left = stored(left.join(means, "word", "left"), "looked")
+        found, left = found.unionByName(left.where("scores IS NOT NULL")), left.where("scores IS NULL").select("word")
+    return found
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """One row per document: `row` (a struct of `columns`, by default doc_id), lang_pred and score."""
     rows = docs.select(row_of(columns or ["doc_id"]), text_or_empty().alias("text"))
-    shape = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    width = len(model.languages)
+    if not width:
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shape = rows.select("row").schema.add("no", "long").add("words", "long").add("sums", ArrayType(DoubleType())).add("rare", ArrayType(StringType()))
+    shared = docs.sparkSession.sparkContext.broadcast(model.tables[0])  # bounded by WORDS
 
     def task(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        # A worker keeps the model, and with it the words seen, from task to task.
-        model = shared.value
-        memo = model.memo = model.memo or Memo(model)
+        known, values = shared.value
+        values = np.concatenate([values, np.zeros((1, width), dtype=np.float32)])  # the last row is for other words
+        # Numbers rows; they are stored with the row, so a repeated task cannot disturb them.
+        no = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):
                 part = batch.slice(at, DOCS)
-                names, scores = [], []
-                for ids in memo.numbers([letter_words(t) for t in part.column("text").to_pylist()]):
-                    if not ids or not model.languages:
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    sums = memo.rows[ids].sum(0, dtype=float)
-                    weights = np.exp((sums - sums.max()) * np.log(10) / np.sqrt(len(ids)))
-                    names.append(model.languages[int(sums.argmax())])
-                    scores.append(float(1 / weights.sum()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
-
-    return rows.mapInArrow(task, shape)
+                lists = [letter_words(t) for t in part.column("text").to_pylist()]
+                sums, rare = np.zeros((len(lists), width)), []
+                for i, words in enumerate(lists):
+                    ids = [known.get(w, -1) for w in words]
+                    sums[i] = values[ids].sum(0, dtype=float) if ids else 0
+                    rare.append([w for w, at in zip(words, ids, strict=True) if at < 0])
+                offsets = np.arange(len(lists) + 1, dtype=np.int32) * width
+                made = [
+                    part.column("row"), pa.array(np.arange(no, no + len(lists))), pa.array(np.array([len(x) for x in lists], dtype=np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())), pa.array(rare, pa.list_(pa.string())),
+                ]
+                no += len(lists)
+                yield pa.RecordBatch.from_arrays(made, names=["row", "no", "words", "sums", "rare"])
+
+    found = stored(rows.mapInArrow(task, shape), "sums")
+    rare = found.select("no", F.explode("rare").alias("word")).groupBy("no", "word").agg(F.count("*").alias("n"))
+    scored = looked_up(found.select(F.explode("rare").alias("word")).distinct(), model)
+    more = rare.join(scored, "word").groupBy("no").agg(F.array(*(F.sum(F.col("scores")[i] * F.col("n")) for i in range(width))).alias("more"))
+    both = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+    total = found.drop("rare").join(more, "no", "left").select("row", "words", both.alias("sums"))
+    weights = F.transform("sums", lambda s: F.exp((s - F.array_max("sums")) * F.lit(float(np.log(10))) / F.sqrt("words")))
+    share = 1 / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+    names = F.array(*map(F.lit, model.languages))
+    best = F.element_at(names, F.array_position("sums", F.array_max("sums")).cast("int"))
+    some = F.col("words") > 0
+    return total.select("row", F.when(some, best).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, share).otherwise(0.0).alias("score"))
 
 
 def held_out(column: str | Column = "doc_id") -> Column:
