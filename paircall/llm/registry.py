@@ -10,6 +10,7 @@ from .mixing import OP9_SQL, op9_mixing
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
 from .simhash import op8_simhash
+from .spelling import OP11_SQL, op11_spelling
 from .suffix_dedup import OP6_SQL, op6_suffix_dedup
 from .token_records import op3_token_records
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op3_token_records": op3_token_records,
     "op9_mixing": op9_mixing,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op10_line_dedup": OP10_SQL,
     "op5_topk": OP5_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_spelling": OP11_SQL,
 }
