@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,13 +238,15 @@ def near_words(points: DataFrame, size: int = SHARD) -> DataFrame:
             columns = [batch.take(pa.array(taken[:, 0])).column(c) for c in ("word", "n", "vector")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, taken[:, 1:].T), *columns], names=["shard", "block", "own", "state", "word", "n", "vector"])
 
-    def meet(key, part: pd.DataFrame) -> pd.DataFrame:
-        shard, block = key
-        part = part.sort_values("vector", kind="stable", ignore_index=True)
-        held = np.frombuffer(b"".join(part["vector"]), np.uint8).reshape(len(part), GROUPS)[:, depths[shard] :]
-        own, state = part["own"].to_numpy(np.int64), part["state"].to_numpy(np.int64)
+    def meet(key, part):
+        import pyarrow as pa
+
+        shard, block = (k.as_py() for k in key)
+        part = part.sort_by("vector")
+        held = np.frombuffer(b"".join(part["vector"].to_pylist()), np.uint8).reshape(len(part), GROUPS)[:, depths[shard] :]
+        own, state, n = (part[c].to_numpy() for c in ("own", "state", "n"))
         rows = np.flatnonzero(own == block)
-        words, n = part["word"].tolist(), part["n"].to_numpy(np.int64)
+        words = part["word"].to_pylist()
         letters, begins, lengths = flat(words)
         pairs = []
         for probe, row, spent in Trie(held[rows]).search(held, state) if len(rows) else ():
@@ -262,10 +263,11 @@ def near_words(points: DataFrame, size: int = SHARD) -> DataFrame:
         place[sorted(found.tolist(), key=words.__getitem__)] = np.arange(len(found))
         order = np.lexsort((place[other], -n[other], one))
         best = other[order][np.searchsorted(one[order], found)]
-        return pd.DataFrame({"word": [words[i] for i in found], "n_near": counts.astype(np.int64), "near_n": n[best], "near": [words[i] for i in best]})
+        columns = [pa.array([words[i] for i in at], pa.string()) for at in (found, best)]
+        return pa.table({"word": columns[0], "n_near": counts.astype(np.int64), "near_n": n[best], "near": columns[1]})
 
     dealt = points.mapInArrow(deal, "shard long, block long, own long, state long, word string, n long, vector binary")
-    met = dealt.groupBy("shard", "block").applyInPandas(meet, "word string, n_near long, near_n long, near string")
+    met = dealt.groupBy("shard", "block").applyInArrow(meet, "word string, n_near long, near_n long, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     return met.groupBy("word").agg(F.sum("n_near").alias("n_near"), best)
 
