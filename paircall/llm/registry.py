@@ -7,6 +7,7 @@ from .language import op2_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .mixing import OP9_SQL, op9_mixing
+from .odd_sketch import OP12_SQL, op12_odd_sketch
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
 from .simhash import op8_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op3_token_records": op3_token_records,
     "op9_mixing": op9_mixing,
     "op11_spelling": op11_spelling,
+    "op12_odd_sketch": op12_odd_sketch,
 }
 
 ORACLE = {
@@ -34,4 +36,5 @@ ORACLE = {
     "op5_topk": OP5_SQL,
     "op9_mixing": OP9_SQL,
     "op11_spelling": OP11_SQL,
+    "op12_odd_sketch": OP12_SQL,
 }
