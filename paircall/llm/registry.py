@@ -8,6 +8,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .mixing import OP9_SQL, op9_mixing
 from .odd_sketch import OP12_SQL, op12_odd_sketch
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op7_quality
 from .topk import OP5_SQL, op5_topk
 from .simhash import op8_simhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op11_spelling": op11_spelling,
     "op12_odd_sketch": op12_odd_sketch,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -37,4 +39,5 @@ ORACLE = {
     "op9_mixing": OP9_SQL,
     "op11_spelling": OP11_SQL,
     "op12_odd_sketch": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
