@@ -192,8 +192,9 @@ class Trie:
 
 
 def near(letters: np.ndarray, begins: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which words a[i] and b[i] differ by exactly one replaced letter, or by one that b[i] has more."""
+    """Which words a[i] and b[i] differ by exactly one letter that is replaced, or that one of them has more."""
     result = np.zeros(len(a), dtype=bool)
+    a, b = np.where(lengths[a] > lengths[b], (b, a), (a, b))
     more = lengths[b] - lengths[a]
     todo = np.flatnonzero((more == 0) | (more == 1))
     todo = todo[np.argsort(lengths[a[todo]], kind="stable")]
