@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import in_regions
-from .sizing import BROADCAST_ROWS, is_small
-
-
-# Bins of about a read's length: a read meets few listed positions, however dense the list.
-NEAR_SHIFT = 8
+from .sizing import BROADCAST_BYTES, broadcast_if_small
 
 
 def position_keys(positions: DataFrame) -> DataFrame:
@@ -19,13 +15,12 @@ def position_keys(positions: DataFrame) -> DataFrame:
     return keys.select("chrom", F.col("pos").cast("int").alias("pos"))
 
 
-def at_positions(df: DataFrame, positions: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose (chrom, pos) is listed. A counted small list is broadcast; a larger one is shuffled."""
-    keys = position_keys(positions)
-    return df.join(F.broadcast(keys) if is_small(keys, rows) else keys, ["chrom", "pos"], "left_semi")
+def at_positions(df: DataFrame, positions: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose (chrom, pos) is listed. A list of few bytes is broadcast; a larger one is shuffled."""
+    return df.join(broadcast_if_small(position_keys(positions), limit), ["chrom", "pos"], "left_semi")
 
 
 def reads_near(reads: DataFrame, positions: DataFrame) -> DataFrame:
     """Reads that cover at least one listed position; the rest need no expansion."""
     keys = position_keys(positions)
-    return in_regions(reads, keys.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")), shift=NEAR_SHIFT)
+    return in_regions(reads, keys.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regions import overlaps
 from ..schema import BIN_SHIFT
 from .reads import with_end
-from .sizing import BROADCAST_ROWS, broadcast_if_small, is_small
+from .sizing import BROADCAST_BYTES, broadcast_if_small, is_small
 
 
 def to_bins(df: DataFrame, start: str, end: str, shift: int = BIN_SHIFT) -> DataFrame:
@@ -19,67 +19,88 @@ def to_bins(df: DataFrame, start: str, end: str, shift: int = BIN_SHIFT) -> Data
 
 
 def merged_pieces(regions: DataFrame, shift: int = BIN_SHIFT) -> DataFrame:
-    """Regions as disjoint pieces `chrom, bin, start, end, previous_end`, each inside one bin.
+    """Regions as disjoint pieces `chrom, bin, start, end`, each inside one bin.
 
     Regions are cut at bin borders and reduced to the longest piece per start before any window,
-    so that a window over one bin sorts at most one row per position of the bin, and the window over a
-    contig at most one row per bin. `previous_end` is the end of the piece before, over all bins.
+    so that a window over one bin sorts at most one row per position of the bin.
     """
     width = 1 << shift
     cut = to_bins(regions.select("chrom", "start", "end").where("start < end"), "start", "end", shift).select(
         "chrom",
         "bin",
-        F.greatest("start", F.col("bin") * width).alias("start"),
-        F.least("end", (F.col("bin") + 1) * width).alias("end"),
+        F.greatest("start", F.col("bin") * width).cast("int").alias("start"),
+        F.least("end", (F.col("bin") + 1).cast("long") * width).cast("int").alias("end"),
     )
     longest = cut.groupBy("chrom", "bin", "start").agg(F.max("end").alias("end"))
 
     in_bin = Window.partitionBy("chrom", "bin").orderBy("start")
     reach = F.max("end").over(in_bin.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    islands = (
+    return (
         longest.withColumn("opens", opens)
         .withColumn("island", F.sum("opens").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("chrom", "bin", "island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .drop("island")
     )
 
-    bins = islands.groupBy("chrom", "bin").agg(F.max("end").alias("bin_end"))
-    before = bins.select(
-        "chrom", "bin", F.lag("bin_end").over(Window.partitionBy("chrom").orderBy("bin")).alias("bin_previous_end")
-    )
-    previous = F.lag("end").over(in_bin)
-    return islands.join(before, ["chrom", "bin"]).select(
-        "chrom", "bin", "start", "end", F.coalesce(previous, "bin_previous_end").alias("previous_end")
-    )
-
-
-def in_regions(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS, shift: int = BIN_SHIFT) -> DataFrame:
-    """Reads that overlap at least one region, each once.
 
-    A read is compared with all pieces of its bins: wide bins suit long regions, narrow ones dense short ones.
+def piece_index(regions: DataFrame, shift: int = BIN_SHIFT) -> DataFrame:
+    """One row `chrom, bin, starts, ends, next_start` per bin from 0 to the last one that a region of the contig touches.
 
-    A read meets several pieces; only the first is kept, which is the overlapping piece whose
-    predecessor ends at or before the read starts. So no distinct and no read key is needed.
+    `starts` and `ends` are the bin's disjoint pieces in order, at most one per position of the bin; `next_start` is where
+    the first piece of a later bin begins. So the row of the bin in which something begins answers what it overlaps.
     """
-    pieces = merged_pieces(regions, shift).select(
+    pieces = merged_pieces(regions, shift)
+    held = pieces.groupBy("chrom", "bin").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_p"))
+    last = held.groupBy("chrom").agg(F.max("bin").alias("_last"))
+    bins = last.select("chrom", F.explode(F.sequence(F.lit(0), "_last")).alias("bin")).join(held, ["chrom", "bin"], "left")
+    # Backwards, so that what a row needs is known when the window reaches it.
+    later = Window.partitionBy("chrom").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast("array<int>")
+    return bins.select(
         "chrom",
         "bin",
-        F.col("start").alias("_piece_start"),
-        F.col("end").alias("_piece_end"),
-        F.coalesce("previous_end", F.lit(0)).alias("_piece_before"),
-    )
-    if is_small(regions, rows):
-        pieces = broadcast_if_small(pieces, rows)
-    spread = to_bins(with_end(reads).withColumnRenamed("end", "_end"), "pos", "_end", shift)
-    hit = spread.join(pieces, ["chrom", "bin"]).where(
-        overlaps(F.col("pos"), F.col("_end"), F.col("_piece_start"), F.col("_piece_end"))
-        & (F.col("_piece_before") <= F.col("pos"))
+        F.coalesce(F.col("_p.start"), none).alias("starts"),
+        F.coalesce(F.col("_p.end"), none).alias("ends"),
+        F.min(F.get("_p.start", F.lit(0))).over(later).alias("next_start"),
     )
-    return hit.select(*reads.columns)
 
 
-def overlap_pairs(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_ROWS, shift: int = BIN_SHIFT) -> DataFrame:
+def first_after(ends: Column, position: Column) -> Column:
+    """Number of the first of the ascending `ends` that lies past `position`, by bisection; their count if none does."""
+    halvings = F.array_repeat(F.lit(0), F.ceil(F.log2(F.size(ends) + 1)).cast("int"))
+    begin = F.struct(F.lit(0).alias("low"), F.size(ends).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        past = (at["low"] >= at["high"]) | (F.get(ends, middle) > position)
+        return F.struct(
+            F.when(past, at["low"]).otherwise(middle + 1).alias("low"),
+            F.when(past, F.least(middle, at["high"])).otherwise(at["high"]).alias("high"),
+        )
+
+    return F.aggregate(halvings, begin, halve, lambda at: at["low"])
+
+
+def in_regions(reads: DataFrame, regions: DataFrame, limit: int = BROADCAST_BYTES, shift: int = BIN_SHIFT) -> DataFrame:
+    """Reads that overlap at least one region, each once.
+
+    A read meets one row of the piece index, that of the bin in which it begins, and finds its piece there by
+    bisection: it is neither spread over its bins nor compared with every piece. The join is a semi join, whose
+    condition sees the arrays in place, so they are not copied to each read.
+    """
+    index = piece_index(regions, shift)
+    index = F.broadcast(index) if is_small(regions, limit) else index
+    index = index.withColumnsRenamed({"chrom": "_chrom", "bin": "_bin"})
+    placed = with_end(reads).withColumnRenamed("end", "_end")
+    first = F.get("starts", first_after(F.col("ends"), F.col("pos")))
+    overlap = F.coalesce(first, "next_start") < F.col("_end")
+    same = (F.col("chrom") == F.col("_chrom")) & (F.greatest(F.shiftright("pos", shift), F.lit(0)) == F.col("_bin"))
+    return placed.join(index, same & overlap, "left_semi").select(*reads.columns)
+
+
+def overlap_pairs(reads: DataFrame, regions: DataFrame, limit: int = BROADCAST_BYTES, shift: int = BIN_SHIFT) -> DataFrame:
     """Every overlapping (read, region) pair; region columns are `chrom, start, end` and any others.
 
     Both sides are spread over bins and joined on (chrom, bin). A pair is kept only in the later of
@@ -89,7 +110,7 @@ def overlap_pairs(reads: DataFrame, regions: DataFrame, rows: int = BROADCAST_RO
     right = regions.withColumnsRenamed({"start": "region_start", "end": "region_end"})
     right = to_bins(right.where("region_start < region_end"), "region_start", "region_end", shift)
     first_bin = F.shiftright(F.greatest("pos", "region_start"), shift)
-    hit = left.join(broadcast_if_small(right, rows), ["chrom", "bin"]).where(
+    hit = left.join(broadcast_if_small(right, limit), ["chrom", "bin"]).where(
         overlaps(F.col("pos"), F.col("_end"), F.col("region_start"), F.col("region_end")) & (F.col("bin") == first_bin)
     )
     extra = [c for c in regions.columns if c not in ("chrom", "start", "end")]

@@ -1,22 +1,33 @@
-"""Checks that decide between a broadcast and a shuffle."""
+"""Sizes that decide between a broadcast and a shuffle.
+
+A size is Spark's own estimate of the optimised plan, in bytes: file sizes by the columns that are read, exact for local
+rows and for what is cached, carried through the plan. Asking for it runs no job. Where a plan's size is unknown, Spark
+assumes that it is huge, and the side is shuffled. Estimates of text or compressed files can be too low for what they
+hold, hence a factor of safety in the limit; at run time Spark itself still chooses a broadcast for a shuffled side that
+turns out to be small.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows that may be broadcast; every caller has rows of a few hundred bytes at most.
-BROADCAST_ROWS = 200_000
+# Estimated bytes that may be broadcast. A broadcast of ten times as much is still sound on any executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of the rows, from the optimised plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if `df` has at most `rows` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return estimated_bytes(df) <= limit
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; a larger side is left to Catalyst and AQE."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a side that is estimated to be small; a larger one is left to Catalyst and AQE."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:

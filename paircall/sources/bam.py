@@ -4,6 +4,9 @@ The `.bai` index gives virtual offsets at which records begin. They cut a file i
 similar compressed size, which are read independently and arrive as Arrow batches. An index is
 required. The option `regions` selects partitions through it.
 
+`read_bam` plans by a Spark job over the files: tasks read headers and indexes, the driver gets the splits and the
+contig dictionaries only. Loaded directly, the source plans on the driver, file after file.
+
 The source takes no filters from Spark: in Spark 4.1 the filters that one query pushes into a Python source
 stay with the loaded table, and a second query on the same DataFrame would miss rows.
 """
@@ -15,12 +18,12 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.ranges import in_regions
@@ -42,6 +45,7 @@ SPLIT_BYTES = 32 << 20
 MIN_PART_BYTES = 512
 BATCH_ROWS = 8192
 BATCH_BYTES = 32 << 20  # of records that are decoded at once, whatever their number
+NO_END = 1 << 40  # past any position
 
 
 @dataclass
@@ -162,6 +166,21 @@ class ContigIndex:
     mapped: int = 0
     unmapped: int = 0
 
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last virtual offset that may hold reads of each region [start, end), by searching sorted windows."""
+        linear = np.array(self.linear, dtype=np.int64)
+        reached = np.flatnonzero(linear)
+        begin = np.full(len(starts), self.begin, dtype=np.int64)
+        if len(linear):
+            # The first record that reaches the window of `start`, or any later window if that one is empty.
+            after = np.append(linear[reached], self.end)[np.searchsorted(reached, starts >> LINEAR_SHIFT)]
+            begin = np.where(starts > 0, np.maximum(begin, after), begin)
+        # Records are in order, so those behind one that lies in a window past the bound start past it too.
+        windows = np.array(sorted(self.leaves), dtype=np.int64)
+        lows = np.array([self.leaves[w] for w in windows.tolist()] + [self.end], dtype=np.int64)
+        least = np.minimum.accumulate(lows[::-1])[::-1]
+        return begin, least[np.searchsorted(windows, -(-np.maximum(ends, 0) >> LINEAR_SHIFT))]
+
 
 def index_path(path: str) -> str:
     for candidate in (path + ".bai", path[:-1] + "i" if path.endswith(".bam") else path + ".bai"):
@@ -201,51 +220,49 @@ def read_index(path: str) -> tuple[list[ContigIndex], list[int]]:
     return contigs, sorted(offsets)
 
 
-def wanted_ranges(path: str, header: Header, entries: list[ContigIndex], regions) -> list[tuple[int, int | None]] | None:
-    """Disjoint ranges of virtual offsets that may hold reads of the regions; None for the whole file."""
-    found = []
-    for chrom, start, until in regions:
-        if chrom == "*":
-            return None
-        if chrom not in header.names:
-            raise ValueError(f"unknown contig: {chrom} is not in {path}")
-        entry = entries[header.names.index(chrom)]
-        if entry.begin is None:
-            continue
-        begin, end = entry.begin, entry.end
-        if start > 0 and entry.linear:
-            # The first record that reaches the window of `start`, or any later window if that one is empty.
-            begin = max(begin, next((v for v in entry.linear[start >> LINEAR_SHIFT:] if v), end))
-        if until is not None:
-            # Records are in order, so those behind one that lies in a window past the bound start past it too.
-            window = -(-max(until, 0) >> LINEAR_SHIFT)
-            end = min([end, *(v for w, v in entry.leaves.items() if w >= window)])
-        if begin < end:
-            found.append((begin, end))
-    merged: list[tuple[int, int]] = []
-    for begin, end in sorted(found):
-        if merged and begin <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-        else:
-            merged.append((begin, end))
-    return merged
+def wanted_ranges(header: Header, entries: list[ContigIndex], regions) -> list[tuple[int, int]] | None:
+    """Disjoint ranges of virtual offsets that may hold reads of the regions; None for the whole file.
 
-
-def plan_splits(path: str, size: int, split_bytes: int, regions: list[tuple[str, int, int | None]] | None) -> list[BamSplit]:
-    """Splits of a file of about `split_bytes` of compressed data. Header and index are read once."""
-    header, first = read_bam_header(path)
+    Contigs that the file does not have hold nothing.
+    """
+    by_contig: dict[str, list[tuple[int, int]]] = {}
+    for chrom, start, until in regions:
+        by_contig.setdefault(chrom, []).append((start, NO_END if until is None else until))
+    if "*" in by_contig:
+        return None
+    found = [(np.empty(0, np.int64),) * 2]
+    for chrom, entry in zip(header.names, entries):
+        if chrom in by_contig and entry.begin is not None:
+            found.append(entry.ranges(*np.array(by_contig[chrom], dtype=np.int64).T))
+    begin, end = (np.concatenate(side) for side in zip(*found))
+    order = np.argsort(begin, kind="stable")
+    order = order[begin[order] < end[order]]
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    opens = np.flatnonzero(np.append(True, begin[1:] > reach[:-1])[: len(begin)])
+    return list(zip(begin[opens].tolist(), reach[np.append(opens[1:], len(begin)) - 1].tolist())) if len(begin) else []
+
+
+def plan_splits(path: str, size: int, split_bytes: int, regions: list[tuple[str, int, int | None]] | None, header: Header | None = None, first: int = 0) -> list[BamSplit]:
+    """Splits of a file of about `split_bytes` of compressed data. Header and index are read once.
+
+    Ranges and cuts are both sorted, so each range begins its walk at the cut before it.
+    """
+    if header is None:
+        header, first = read_bam_header(path)
     entries, offsets = read_index(index_path(path))
-    ranges = None if regions is None else wanted_ranges(path, header, entries, regions)
+    ranges = None if regions is None else wanted_ranges(header, entries, regions)
     cuts, splits = [first], []
     for offset in offsets:
         if offset > first and (offset >> 16) - (cuts[-1] >> 16) >= split_bytes:
             cuts.append(offset)
-    whole = list(zip(cuts, [*cuts[1:], None]))
-    for begin, end in whole if ranges is None else ranges:
-        for low, high in whole:
-            low, high = max(low, begin), end if high is None else (high if end is None else min(high, end))
-            if high is None or low < high:
-                splits += _parts(path, low, high, size, split_bytes)
+    if ranges is None:
+        return [part for low, high in zip(cuts, [*cuts[1:], None]) for part in _parts(path, low, high, size, split_bytes)]
+    for begin, end in ranges:
+        low, at = max(begin, first), bisect_right(cuts, begin)
+        while low < end:
+            high = min(end, cuts[at]) if at < len(cuts) else end
+            splits += _parts(path, low, high, size, split_bytes)
+            low, at = high, at + 1
     return splits
 
 
@@ -356,10 +373,26 @@ def _strings(data: np.ndarray, lengths: np.ndarray, present: np.ndarray | None =
 _PAIRS = np.array([[ord(BASE_CODES[b >> 4]), ord(BASE_CODES[b & 15])] for b in range(256)], dtype=np.uint8)
 
 
-def _cigar(record: bytes, at: int, count: int) -> str:
-    if count == 0:
-        return "*"
-    return "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in struct.unpack_from(f"<{count}I", record, at))
+_OP_LETTERS = np.frombuffer(CIGAR_OPS.encode(), np.uint8)
+
+
+def _cigars(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """CIGAR strings of all records: digits of every operation's length, its letter; `*` where there is none."""
+    packed = _ragged(data, starts, 4 * counts).view("<u4").astype(np.int64)
+    lengths, letters = packed >> 4, _OP_LETTERS[np.minimum(packed & 15, len(CIGAR_OPS) - 1)]
+    digits = np.searchsorted(10 ** np.arange(1, 10), lengths, side="right") + 1
+    ends = np.cumsum(digits + 1)
+    text = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    text[ends - 1] = letters
+    for place in range(int(digits.max(initial=0))):
+        some = np.flatnonzero(digits > place)
+        text[ends[some] - 2 - place] = 48 + lengths[some] // 10**place % 10
+    before = np.concatenate(([0], ends))
+    first = np.concatenate(([0], np.cumsum(counts)))
+    sizes = before[first[1:]] - before[first[:-1]]
+    none = np.flatnonzero(counts == 0)
+    # An operation-less record says `*`: one byte is put in before the text of the records that follow.
+    return _strings(np.insert(text, before[first[none]], 42), np.where(counts == 0, 1, sizes))
 
 
 def _number(value: float, kind: str) -> str:
@@ -428,7 +461,7 @@ def _batch(records: list[bytes], names: np.ndarray, sample: str, with_tags: bool
         "chrom": contig(core["tid"]),
         "pos": pa.array(core["pos"].astype(np.int32)),
         "mapq": pa.array(core["mapq"].astype(np.int32)),
-        "cigar": pa.array([_cigar(r, int(a), int(c)) for r, a, c in zip(records, cigar_at, core["cigar_len"])], pa.string()),
+        "cigar": _cigars(data, starts + cigar_at, core["cigar_len"].astype(np.int64)),
         "mate_chrom": contig(core["mate_tid"]),
         "mate_pos": pa.array(core["mate_pos"].astype(np.int32)),
         "isize": pa.array(core["isize"].astype(np.int32)),
@@ -450,12 +483,12 @@ class BamReader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         # Wanted regions: contig, lower bound of the end position, exclusive upper bound of the start position.
         self.regions = [tuple(r) for r in json.loads(options["regions"])] if "regions" in options else None
+        self.splits = json.loads(options["splits"]) if "splits" in options else None
 
     def partitions(self):
-        files = list_files(self.path, (".bam",))
-        with ThreadPoolExecutor(min(16, len(files) or 1)) as pool:
-            plans = pool.map(lambda file: plan_splits(*file, self.split_bytes, self.regions), files)
-            return [split for plan in plans for split in plan]
+        if self.splits is not None:
+            return [BamSplit(path, *border) for path, borders in self.splits for border in borders]
+        return [split for file in list_files(self.path, (".bam",)) for split in plan_splits(*file, self.split_bytes, self.regions)]
 
     def read(self, partition: BamSplit | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing to read: no partition was planned
@@ -491,7 +524,10 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """Options: `path` (file or directory), `sample`, `tags` (true|false), `splitBytes`, `regions` (JSON list of contig, start, end or null)."""
+    """Options: `path` (file or directory), `sample`, `tags` (true|false), `splitBytes`, `regions` (JSON list of contig, start, end or null).
+
+    `splits` (JSON list of path and borders) holds a finished plan, in place of `regions`.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -522,35 +558,89 @@ def read_bam(
 
     With a region `(chrom, start, end)`, or several, only the parts of the files that the index names are read, and
     the reads that overlap a region come back whole, each once; `whole` leaves in what else those parts hold, for
-    callers that filter later. A contig that a file does not have is an error.
+    callers that filter later. A contig that no file has is an error.
     """
     register_bam(spark)
-    reader = spark.read.format("bam").option("sample", sample).option("tags", str(tags).lower())
-    reader = reader.option("splitBytes", split_bytes)
     wanted = [region] if region is not None else regions
-    if wanted is None:
-        return reader.load(path)
-    reads = reader.option("regions", json.dumps(wanted)).load(path)
-    if whole:
+    lengths, splits = _planned(spark, path, split_bytes, wanted)
+    for chrom, _, _ in wanted or []:
+        if chrom != "*" and chrom not in lengths:
+            raise ValueError(f"unknown contig: {chrom} is not in {path}")
+    reader = spark.read.format("bam").option("sample", sample).option("tags", str(tags).lower())
+    reads = reader.option("splits", json.dumps(splits)).load(path)
+    if wanted is None or whole:
         return reads
     if region is not None:
         return in_region(reads, *region)
-    header, _ = read_bam_header(list_files(path, (".bam",))[0][0])
-    lengths = dict(zip(header.names, header.lengths))
     table = spark.createDataFrame([(c, s, lengths.get(c, s) if e is None else e) for c, s, e in wanted], "chrom string, start int, end int")
     return in_regions(reads, table)
 
 
+def _on_files(spark: SparkSession, path: str, per_file, schema: str) -> DataFrame:
+    """The rows that `per_file(path, size)` gives for every file of a path, made in tasks."""
+    files = list_files(path, (".bam",))
+    table = spark.createDataFrame(files, "path string, size long").repartition(max(1, len(files)), "path")
+
+    def task(batches):
+        for batch in batches:
+            for file, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+                yield per_file(file, size)
+
+    return table.mapInArrow(task, schema)
+
+
+def _planned(spark: SparkSession, path: str, split_bytes: int, regions) -> tuple[dict[str, int], list]:
+    """Lengths of the contigs that any file has, and the splits of all files as (path, borders)."""
+
+    def per_file(file: str, size: int) -> pa.RecordBatch:
+        header, first = read_bam_header(file)
+        borders = [[s.begin, s.end, s.limit] for s in plan_splits(file, size, split_bytes, regions, header, first)]
+        named = json.dumps(list(zip(header.names, header.lengths)))
+        return pa.RecordBatch.from_pydict({"path": [file], "contigs": [named], "borders": [json.dumps(borders)]})
+
+    planned = _on_files(spark, path, per_file, "path string, contigs string, borders string").persist()
+    try:
+        # Files of one sample mostly share a dictionary, so each one that differs comes to the driver once.
+        dictionaries = [json.loads(r.contigs) for r in planned.select("contigs").distinct().collect()]
+        splits = [(r.path, json.loads(r.borders)) for r in planned.select("path", "borders").orderBy("path").collect()]
+    finally:
+        planned.unpersist()
+    return _one_dictionary(path, dictionaries), splits
+
+
+def _one_dictionary(path: str, dictionaries: list) -> dict[str, int]:
+    lengths: dict[str, int] = {}
+    for chrom, length in (pair for each in dictionaries for pair in each):
+        if lengths.setdefault(chrom, length) != length:
+            raise ValueError(f"contig {chrom} has lengths {lengths[chrom]} and {length} in the files of {path}")
+    return lengths
+
+
 def read_bam_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """Contig dictionary `chrom, length, tid` of a BAM file."""
-    header, _ = read_bam_header(path)
-    rows = [(name, length, tid) for tid, (name, length) in enumerate(zip(header.names, header.lengths))]
-    return spark.createDataFrame(rows, "chrom string, length int, tid int")
+    """Contig dictionary `chrom, length, tid` of a BAM file, or of all files of a folder: headers are read in tasks.
+
+    `tid` is the smallest of the files that have the contig. Lengths that differ between files are an error.
+    """
+
+    def per_file(file: str, size: int) -> pa.RecordBatch:
+        header, _ = read_bam_header(file)
+        return pa.RecordBatch.from_pydict({"chrom": pa.array(header.names, pa.string()), "length": pa.array(header.lengths, pa.int32()), "tid": pa.array(range(len(header.names)), pa.int32())})
+
+    found = _on_files(spark, path, per_file, "chrom string, length int, tid int").groupBy("chrom")
+    found = found.agg(F.min("length").alias("length"), F.max("length").alias("_most"), F.min("tid").alias("tid"))
+    differ = F.raise_error(F.concat(F.lit("contig with several lengths: "), F.col("chrom"))).cast("int")
+    return found.select("chrom", F.when(F.col("length") == F.col("_most"), F.col("length")).otherwise(differ).alias("length"), "tid").orderBy("tid", "chrom")
 
 
 def read_bam_index_stats(spark: SparkSession, path: str) -> DataFrame:
-    """`chrom, length, mapped, unmapped` as the index records them."""
-    header, _ = read_bam_header(path)
-    entries, _ = read_index(index_path(path))
-    rows = [(n, length, e.mapped, e.unmapped) for n, length, e in zip(header.names, header.lengths, entries)]
-    return spark.createDataFrame(rows, "chrom string, length long, mapped long, unmapped long")
+    """`chrom, length, mapped, unmapped` as the indexes record them, added up over the files of a folder."""
+
+    def per_file(file: str, size: int) -> pa.RecordBatch:
+        header, _ = read_bam_header(file)
+        entries, _ = read_index(index_path(file))
+        rows = [(n, length, e.mapped, e.unmapped) for n, length, e in zip(header.names, header.lengths, entries)]
+        columns = [pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(4)]
+        return pa.RecordBatch.from_arrays(columns, names=["chrom", "length", "mapped", "unmapped"])
+
+    found = _on_files(spark, path, per_file, "chrom string, length long, mapped long, unmapped long")
+    return found.groupBy("chrom").agg(F.max("length").alias("length"), F.sum("mapped").alias("mapped"), F.sum("unmapped").alias("unmapped"))
