@@ -36,6 +36,7 @@ class Density:
     name: str
     params_type: type
     needs_reads = False
+    takes_cells = False  # whether `from_cells` makes training rows of the long form of reads
     training_keys: tuple[str, ...] = ()  # columns that `terms` groups the training table by
 
     def with_loglik(self, sites: DataFrame, params) -> DataFrame:
@@ -48,6 +49,10 @@ class Density:
         """Training rows with a weight `w`; equal count tuples are one row, whatever the genome's length."""
         return sites.groupBy(*COUNTS).agg(F.count("*").alias("w"))
 
+    def from_cells(self, cells: DataFrame) -> DataFrame:
+        """Training rows of `operators.sites.quality_cells`, without a gather of reads per site."""
+        raise NotImplementedError
+
     def terms(self, training: DataFrame, params) -> DataFrame:
         """One row per weighted training site with log-likelihoods and allele terms as columns."""
         return self.with_loglik(training, params)
@@ -86,6 +91,7 @@ class Quality(Density):
     name = "quality"
     params_type = BinomialParams
     needs_reads = True
+    takes_cells = True
     training_keys = SITE
 
     def with_loglik(self, sites: DataFrame, params: BinomialParams) -> DataFrame:
@@ -103,6 +109,9 @@ class Quality(Density):
         cells = F.concat(*[marked(s) for s in SAMPLE_SUFFIXES])
         return sites.select(*SITE, F.explode_outer(cells).alias("c")).select(*SITE, "c.*")
 
+    def from_cells(self, cells: DataFrame) -> DataFrame:
+        return cells.select(*SITE, "s", "q", "r", "n")
+
     def terms(self, training: DataFrame, params: BinomialParams) -> DataFrame:
         """Per-site sums over the long form.
 

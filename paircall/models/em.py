@@ -83,12 +83,16 @@ def fit(
     params=None,
     max_iters: int = 1000,
     tolerance: float = 1e-6,
+    compressed: bool = False,
 ) -> FitResult:
-    """Fit a model to site rows. The reported log-likelihood of an iteration is the one before its update."""
+    """Fit a model to site rows, or to rows that are in the model's training form already.
+
+    The reported log-likelihood of an iteration is the one before its update.
+    """
     density = model_by_name(model)
     params = density.params_type() if params is None else params
     priors = density.params_type.priors_type() if priors is None else priors
-    training = durable(density.compress(sites), density.training_keys)
+    training = durable(sites if compressed else density.compress(sites), density.training_keys)
     history, previous, converged = [], -math.inf, False
     try:
         while True:

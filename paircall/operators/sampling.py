@@ -27,6 +27,13 @@ def genome_rank(sites: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def every_kth_site(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The rows of every k-th site, of a table with several rows per site. The rows are read twice."""
+    if k <= 1:
+        return rows
+    return rows.join(every_kth(rows.select("chrom", "pos").distinct(), k, block), ["chrom", "pos"], "left_semi")
+
+
 def every_kth(sites: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Every k-th site in genome order, the k-th first."""
     if k <= 1:

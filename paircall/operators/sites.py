@@ -7,7 +7,7 @@ and those few rows per position are then gathered per (chrom, pos).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.likelihood import read_likelihood
@@ -165,6 +165,42 @@ def joint_qualities(
     )
 
 
+def quality_cells(
+    obs: DataFrame, reference: DataFrame | None = None, min_bq: int = 0, min_mq: int = 0
+) -> DataFrame:
+    """Counts as in `joint_counts`, one row per site, sample and distinct (q, r) with a count: `s, q, r, n`.
+
+    The long form of `joint_qualities`, which gathers nothing: reads are counted per (position, sample, base, bq, mq),
+    and a window over a position's cells tells each of them the variant base and the counts of its site. Cells of third
+    alleles, and of bases that do not count, have a null `s`: they keep a site without other reads.
+    """
+    ok = passes(min_bq, min_mq)
+    graded = [F.when(ok, F.col(c)).alias(c) for c in ("base", "bq", "mq")]
+    cells = obs.where(F.col("sample").isin(*SAMPLES)).select(*_keys(obs), F.when(_is(TUMOUR), "T").otherwise("N").alias("s"), *graded)
+    cells = _with_reference(cells.groupBy(*_keys(obs), "s", "base", "bq", "mq").agg(F.count("*").alias("n")), reference)
+    site = Window.partitionBy("chrom", "pos")
+    total = lambda s, which: F.sum(F.when((F.col("s") == s) & which, F.col("n")).otherwise(0)).over(site)
+    sums = {}
+    for s in "NT":
+        sums[f"_cover_{s}"] = total(s, F.lit(True))
+        sums[f"a_{s}"] = total(s, F.col("base") == F.col("ref_base"))
+        sums |= {f"_{b}_{s}": total(s, F.col("base") == b) for b in NUCLEOTIDES}
+    cells = cells.withColumns(sums).where("_cover_N > 0 AND _cover_T > 0")
+    totals = {b: F.col(f"_{b}_N") + F.col(f"_{b}_T") for b in NUCLEOTIDES}
+    cells = compute_once(cells, {"var_base": variant_base(F.col("ref_base"), totals)})
+    zero, ref = F.lit(0).cast("long"), F.col("base") == F.col("ref_base")
+    cells = cells.withColumns({f"b_{s}": pick(F.col("var_base"), {b: F.col(f"_{b}_{s}") for b in NUCLEOTIDES}, zero) for s in "NT"})
+    kept = ref | ((F.col("base") == F.col("var_base")) & (F.col("var_base") != "N"))
+    prob = phred_prob(F.col("bq").cast("double"))
+    read = {
+        "s": F.col("s"),
+        "q": F.when(ref, prob).otherwise(mismatch_prob(prob)),
+        "r": phred_prob(F.col("mq").cast("double")),
+        "n": F.col("n"),
+    }
+    return cells.select("chrom", "pos", "ref_base", "var_base", *COUNTS, *[F.when(kept, c).alias(name) for name, c in read.items()])
+
+
 def joint_quality_loglik(
     obs: DataFrame, mu_N: tuple, mu_T: tuple, reference: DataFrame | None = None, min_bq: int = 0, min_mq: int = 0
 ) -> DataFrame:

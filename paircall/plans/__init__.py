@@ -3,6 +3,6 @@
 from .alignments import bam_observations
 from .classify import classify
 from .observations import observe, paired_observations
-from .train import train, training_sites
+from .train import train, training_rows, training_sites
 
-__all__ = ["bam_observations", "classify", "observe", "paired_observations", "train", "training_sites"]
+__all__ = ["bam_observations", "classify", "observe", "paired_observations", "train", "training_rows", "training_sites"]

@@ -115,9 +115,13 @@ def parse_contigs(header: DataFrame) -> DataFrame:
     first = listed.groupBy("chrom").agg(
         F.min(F.struct("file", "line_no", "length")).alias("first")
     ).select("chrom", "first.*")
-    # A window over header rows, one per contig.
-    order = Window.orderBy("file", "line_no", "chrom")
-    return first.select("chrom", "length", (F.row_number().over(order) - 1).alias("tid"))
+    # Contigs are numbered within their file, and the numbers of the files before are added, one row each.
+    counts = first.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("line_no", "chrom"))
+    placed = first.withColumn("nth", nth).join(offsets, "file")
+    return placed.select("chrom", "length", (F.col("before") + F.col("nth") - 1).cast("int").alias("tid"))
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,8 @@ from paircall.functions import regions as region_functions
 from paircall.models import MODELS, BinomialParams, expected_statistics, score, training_table
 from paircall.models.density import LOGLIKS, Binomial, model_by_name
 from paircall.operators import labels, pileup, positions, ranges, reads, reference, sites
-from paircall.plans import classify, paired_observations, train, training_sites
+from paircall.operators.sampling import genome_rank
+from paircall.plans import classify, paired_observations, train, training_rows, training_sites
 from paircall.plans.classify import scored_sites
 from paircall.schema import COUNTS, GENOTYPES, JOINT_GENOTYPES, POSTERIORS
 from paircall.sinks import results_table, results_text, write_params
@@ -351,9 +352,8 @@ def positions_semi(spark, sf):
 @query
 def quality_histogram(spark, sf):
     """Per-read probabilities of each joint site, as (q, r) with a count."""
-    df = sites.joint_qualities(inputs.observations(spark, sf), min_bq=5, min_mq=5)
-    side = lambda s: df.select("chrom", "pos", F.lit(s).alias("s"), F.explode(f"reads_{s}").alias("x"))
-    long_form = side("N").unionByName(side("T")).select("chrom", "pos", "s", F.round("x.q", 6).alias("q"), F.round("x.r", 6).alias("r"), "x.n")
+    cells = sites.quality_cells(inputs.observations(spark, sf), min_bq=5, min_mq=5).where("s IS NOT NULL")
+    long_form = cells.select("chrom", "pos", "s", F.round("q", 6).alias("q"), F.round("r", 6).alias("r"), "n")
     return rounded(long_form.groupBy("chrom", "pos", "s", "q", "r").agg(F.sum("n").alias("n")), [])
 
 
@@ -481,9 +481,9 @@ def counts_rows(spark, sf):
 @query
 def output_order(spark, sf):
     """Places of the sites in the order in which the sinks write them."""
-    ordered = in_order(counts_table(site_counts(spark, sf)), "position").withColumn("_at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("_at"))
-    return rounded(ordered.select("chrom", "position", place.alias("place")), [])
+    # Places are counted within blocks of positions and the blocks before are added: no window holds all sites.
+    placed = genome_rank(site_counts(spark, sf)).select("chrom", (F.col("pos") + 1).alias("position"), F.col("rank").cast("int").alias("place"))
+    return in_order(placed, "position")
 
 
 class Tempered(Binomial):
@@ -565,7 +565,8 @@ def count_histogram(spark, sf):
 
 def statistics(spark, sf, model):
     density = model_by_name(model)
-    out = expected_statistics(training_table(training(spark, sf, model), model), density.params_type(), model)
+    rows = training_rows(inputs.observations(spark, sf), model=model, **DEPTHS)
+    out = expected_statistics(rows, density.params_type(), model)
     return rounded(out, out.columns, 4)
 
 
