@@ -6,75 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import normalise_bases
-from ..functions.cigar import ONE_MATCH, parse_cigar, reference_end
+from ..functions.cigar import ONE_MATCH, reference_end
 from ..functions.quality import decode_quality
 from ..schema import BASE_CODES
+from .segments import segments
 
 _MATCH = ("M", "=", "X")
-_GAP = ("D", "N")
-_READ_ONLY = ("I", "S")
 
 
-def _segments(annotate: bool) -> Column:
-    """`array<struct<ref,query,len,op[,indel]>>`, one entry per reference-consuming CIGAR operation.
+def _segments() -> Column:
+    """`array<struct<ref,query,len,op,indel>>`, one entry per reference-consuming CIGAR operation.
 
-    A read with one match operation, the common case, skips the CIGAR fold.
+    A read with one match operation, the common case, is made of plain expressions; only the others go to Python.
     """
     pos, cigar = F.col("pos"), F.col("cigar")
-    ops = parse_cigar(cigar)
-
-    def step(acc: Column, item: Column) -> Column:
-        length, op = item["len"], item["op"]
-        match, gap = op.isin(*_MATCH), op.isin(*_GAP)
-        fields = [acc["ref"].alias("ref"), acc["query"].alias("query"), length.alias("len"), op.alias("op")]
-        if annotate:
-            fields.append(item["indel"].alias("indel"))
-        return F.struct(
-            (acc["ref"] + F.when(match | gap, length).otherwise(0)).alias("ref"),
-            (acc["query"] + F.when(match | op.isin(*_READ_ONLY), length).otherwise(0)).alias("query"),
-            F.when(match | gap, F.concat(acc["out"], F.array(F.struct(*fields)))).otherwise(acc["out"]).alias("out"),
-        )
-
-    kind = "array<struct<ref:int,query:int,len:int,op:string" + (",indel:int" if annotate else "") + ">>"
-    start = F.struct(pos.alias("ref"), F.lit(0).alias("query"), F.array().cast(kind).alias("out"))
-    folded = F.aggregate(_with_indel(ops) if annotate else ops, start, step, lambda acc: acc["out"])
-
+    plain = cigar.rlike(ONE_MATCH)
     single = [
         pos.alias("ref"),
         F.lit(0).alias("query"),
         F.regexp_extract(cigar, "^([0-9]+)", 1).try_cast("int").alias("len"),
         F.lit("M").alias("op"),
+        F.lit(0).alias("indel"),
     ]
-    if annotate:
-        single.append(F.lit(0).alias("indel"))
-    return F.when(cigar.rlike(ONE_MATCH), F.array(F.struct(*single))).otherwise(folded)
-
-
-def _with_indel(ops: Column) -> Column:
-    """Add to each operation the length change right after it: + inserted, - deleted bases.
-
-    After a pad operation the insertions up to the next reference-consuming one add up.
-    """
-    following = lambda i, k: F.get(ops, i + k)
-
-    def padded(i: Column) -> Column:
-        rest = F.slice(ops, i + 3, F.size(ops))
-        consuming = F.filter(F.transform(rest, lambda o, j: F.when(o["op"].isin(*_MATCH, *_GAP), j)), lambda j: j.isNotNull())
-        until = F.coalesce(F.array_min(consuming), F.size(rest))
-        return F.aggregate(
-            F.filter(rest, lambda o, j: (j < until) & (o["op"] == "I")), F.lit(0), lambda total, o: total + o["len"]
-        )
-
-    def indel(i: Column) -> Column:
-        op = following(i, 1)["op"]
-        return (
-            F.when(op == "D", -following(i, 1)["len"])
-            .when(op == "I", following(i, 1)["len"])
-            .when(op == "P", padded(i))
-            .otherwise(0)
-        )
-
-    return F.transform(ops, lambda o, i: F.struct(o["len"], o["op"], indel(i).alias("indel")))
+    return F.when(plain, F.array(F.struct(*single))).otherwise(segments(F.when(~plain, cigar), pos))
 
 
 def expand(reads: DataFrame, annotate: bool = False, ref_skips: bool = True) -> DataFrame:
@@ -91,20 +45,21 @@ def expand(reads: DataFrame, annotate: bool = False, ref_skips: bool = True) ->
     if annotate:
         end = reference_end(F.col("pos"), F.col("cigar"))
         carried += ["qname", F.col("pos").alias("read_start"), (end - 1).alias("read_last")]
-    segments = reads.select(
+    pieces = reads.select(
         *carried,
         normalise_bases(F.col("seq")).cast("binary").alias("seq"),
         F.col("qual").cast("binary").alias("qual"),
-        F.inline(_segments(annotate)),
-    ).where("len > 0")
+        _segments().alias("_segments"),
+    )
+    pieces = pieces.select("*", F.inline("_segments")).drop("_segments").where("len > 0")
     if not ref_skips:
-        segments = segments.where("op <> 'N'")
+        pieces = pieces.where("op <> 'N'")
 
     match = F.col("op").isin(*_MATCH)
     cut = lambda column: F.when(match, F.substring(column, F.col("query") + 1, F.col("len")))
-    segments = segments.withColumns({"seq": cut("seq"), "qual": cut("qual")})
+    pieces = pieces.withColumns({"seq": cut("seq"), "qual": cut("qual")})
     width = F.greatest("len", F.length("seq"), F.length("qual"))
-    bases = segments.withColumn("i", F.explode(F.sequence(F.lit(0), width - 1)))
+    bases = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), width - 1)))
 
     at = lambda column: F.substring(column, F.col("i") + 1, F.lit(1)).cast("string")
     position = F.col("ref") + F.col("i")
