@@ -13,22 +13,37 @@ def _number(text: Column) -> Column:
     return F.coalesce(F.replace(text, F.lit(",")).try_cast("long"), F.lit(0).cast("long"))
 
 
-def parse_region(text: Column) -> Column:
-    """`chr:beg-end` (1-based, commas allowed) to a half-open 0-based struct `(chrom, start, end)`.
-
-    A region without an end reaches to the end of the contig: its `end` is null. A malformed interval is part of the name.
-    """
+def region_parts(text: Column) -> Column:
+    """`(whole, chrom, start, end)` of a region string, unchecked; `whole` is the string without white space."""
     compact = F.regexp_replace(text, "\\s+", "")
     part = lambda group: F.regexp_extract(compact, _SUFFIX, group)
     begin = _number(part(2))
     has_interval = compact.rlike(_SUFFIX)
     return F.struct(
+        compact.alias("whole"),
         F.when(has_interval, part(1)).otherwise(compact).alias("chrom"),
         F.when(has_interval, F.greatest(begin - 1, F.lit(0))).otherwise(0).cast("long").alias("start"),
         F.when(has_interval & (part(3) == "-"), _number(part(4))).cast("long").alias("end"),
     )
 
 
+def checked_end(start: Column, end: Column, text: Column) -> Column:
+    """The end; an error where it lies before the start, as in `chr:500-100`, and in `chr:100-`, whose end is 0."""
+    return F.when(start > end, F.raise_error(F.concat(F.lit("malformed region: "), text)).cast("long")).otherwise(end)
+
+
+def parse_region(text: Column) -> Column:
+    """`chr:beg-end` (1-based, commas allowed) to a half-open 0-based struct `(chrom, start, end)`.
+
+    A region without an end, `chr:beg`, reaches to the end of the contig: its `end` is null. Text that is no interval is part of
+    the name. An interval that ends before it starts is an error. Where contigs have colons in their names, use
+    `operators.ranges.resolve_regions`, which knows the names.
+    """
+    parts = region_parts(text)
+    start = parts["start"]
+    return F.struct(parts["chrom"].alias("chrom"), start.alias("start"), checked_end(start, parts["end"], text).alias("end"))
+
+
 def overlaps(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
     return (start < other_end) & (end > other_start)
 

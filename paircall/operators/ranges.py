@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regions import overlaps
+from ..functions.regions import checked_end, overlaps, region_parts
 from ..schema import BIN_SHIFT
+from .once import compute_once
 from .reads import with_end
 from .sizing import BROADCAST_BYTES, broadcast_if_small, is_small
 
 
+def resolve_regions(table: DataFrame, contigs: DataFrame, text: str = "region") -> DataFrame:
+    """Add `chrom, start, end` of the region strings in `text`, with names from the dictionary's `chrom`.
+
+    The part before the last colon is the name if a contig has it; else the whole string, if a contig is called so,
+    without an interval. Neither is an error, and so is an interval that ends before it starts.
+    """
+    parts = compute_once(table, {"_region": region_parts(F.col(text))})
+    names = contigs.select("chrom").distinct()
+    named = lambda column: broadcast_if_small(names.select(F.col("chrom").alias(column)))
+    found = parts.join(named("_name"), F.col("_region.chrom") == F.col("_name"), "left")
+    found = found.join(named("_whole"), F.col("_region.whole") == F.col("_whole"), "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown contig in region: "), F.col(text))).cast("string")
+    by_name = F.col("_name").isNotNull()
+    start = F.when(by_name, F.col("_region.start")).otherwise(0).cast("long")
+    end = F.when(by_name, checked_end(F.col("_region.start"), F.col("_region.end"), F.col(text)))
+    return found.select(*table.columns, F.coalesce("_name", "_whole", unknown).alias("chrom"), start.alias("start"), end.alias("end"))
+
+
 def to_bins(df: DataFrame, start: str, end: str, shift: int = BIN_SHIFT) -> DataFrame:
     """One row per bin of 2**shift positions that [start, end) touches, with the bin number in `bin`."""
     first = F.shiftright(F.col(start), shift).cast("int")

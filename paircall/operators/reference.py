@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import normalise_bases
-from ..functions.regions import parse_region
 from ..schema import CHUNK
+from .ranges import resolve_regions
 from .sizing import broadcast_if_small
 
 # Chunks that are gathered at once when an interval is put together.
@@ -85,9 +85,9 @@ def fetch_intervals(intervals: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def fetch_region(chunks: DataFrame, region: str) -> DataFrame:
-    """`fetch_intervals` for one 1-based `chr:beg-end` string."""
-    one = chunks.sparkSession.range(1).select(parse_region(F.lit(region)).alias("r")).select("r.*")
-    return fetch_intervals(one, chunks)
+    """`fetch_intervals` for one 1-based `chr:beg-end` string, whose name is one of the chunk table's contigs."""
+    one = chunks.sparkSession.range(1).select(F.lit(region).alias("region"))
+    return fetch_intervals(resolve_regions(one, chunks).drop("region"), chunks)
 
 
 def _joined(column: str) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paircall.functions.regions import parse_region
 from paircall.operators import positions, ranges, sizing
 from paircall.plans import bam_observations, paired_observations
 from paircall.sources import bam, read_bam
@@ -185,3 +186,26 @@ def test_plans_are_built_without_a_job(spark, tmp_path):
     hinted = lambda df: "rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()
     assert hinted(pairs) and not hinted(shuffled)
     assert sizing.is_small(small) and not sizing.is_small(huge)
+
+
+def test_regions_that_end_before_they_start(spark):
+    parse = lambda text: spark.range(1).select(parse_region(F.lit(text)).alias("r")).first().r
+    for text in ("chr:100-", "chr:500-100", "chr:1,000-9"):
+        with pytest.raises(Exception, match=f"malformed region: {text}"):
+            parse(text)
+    assert tuple(parse("chr:500-499")) == ("chr", 499, 499) and tuple(parse("chr:-5")) == ("chr", 0, 5) and tuple(parse("chr:7")) == ("chr", 6, None)
+
+
+def test_regions_by_a_dictionary(spark):
+    """Names with colons: the name before the interval if there is such a contig, else the whole string."""
+    contigs = spark.createDataFrame([("chr1",), ("chr1:1-5",), ("HLA:x",), ("b:9-3",)], "chrom string")
+    texts = ["chr1:1-5", "chr1:1-5:2-3", "HLA:x", "HLA:x:1,000", "b:9-3", " chr1 : 2 - 4 ", "chr1"]
+    table = spark.createDataFrame([(t,) for t in texts], "region string")
+    got = {r.region: (r.chrom, r.start, r.end) for r in ranges.resolve_regions(table, contigs).collect()}
+    assert got == {
+        "chr1:1-5": ("chr1", 0, 5), "chr1:1-5:2-3": ("chr1:1-5", 1, 3), "HLA:x": ("HLA:x", 0, None), "HLA:x:1,000": ("HLA:x", 999, None),
+        "b:9-3": ("b:9-3", 0, None), " chr1 : 2 - 4 ": ("chr1", 1, 4), "chr1": ("chr1", 0, None),
+    }
+    for text, error in (("chr2:1-5", "unknown contig in region: chr2:1-5"), ("chr1:9-3", "malformed region: chr1:9-3")):
+        with pytest.raises(Exception, match=error):
+            ranges.resolve_regions(spark.createDataFrame([(text,)], "region string"), contigs).collect()
