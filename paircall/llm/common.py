@@ -56,6 +56,23 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on, batches that go to Python hold at most `most` bytes; Spark's own bound is 64 MB."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def carried(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`row`, and `text` where the columns do not hold it: no text travels twice. `texts_of` reads either."""
+    return docs.select(row_of(columns), *([] if "text" in columns else [text_or_empty().alias("text")]))
+
+
+def texts_of(batch) -> list[str]:
+    """The texts of an Arrow batch of `carried`, empty for null."""
+    column = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+    return [t or "" for t in column.to_pylist()]
+
+
 def row_of(columns: list[str]) -> Column:
     """The columns as one structure `row`, so that their names cannot clash with an operator's own."""
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in columns)).alias("row")

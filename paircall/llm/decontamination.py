@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_of, text_or_empty
+from .common import carried, row_of, text_or_empty, texts_of
 
 EDITS = 20  # characters per allowed edit
 GROUP = 8_000_000
+DOCS = 256  # documents that are read at once
 _SPACE = {c: " " for c in range(9, 14)}
 
 
@@ -105,12 +106,12 @@ class Finder:
         for number, places in diagonals.items():
             item_id, item = self.items[number]
             budget, best = len(item) // EDITS, None
-            places = sorted(places)
-            while places:
+            places, at = sorted(places), 0
+            while at < len(places):
                 # Diagonals that may belong to one match are checked together; the window grows by at most one match.
-                first = last = places[0]
-                while places and places[0] <= min(last + 2 * budget, first + len(item)):
-                    last = places.pop(0)
+                first = last = places[at]
+                while at < len(places) and places[at] <= min(last + 2 * budget, first + len(item)):
+                    last, at = places[at], at + 1
                 begin = max(0, first - budget)
                 distance, start, end = best_span(item, text[begin : last + len(item) + budget])
                 if distance <= budget and (best is None or distance < best[0]):
@@ -163,7 +164,7 @@ def _task(items: list[tuple[int, str]]):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found; each row is judged by its own text."""
-    rows = docs.select(row_of(docs.columns), text_or_empty().alias("text"))
+    rows = carried(docs, docs.columns)
     for some in item_groups(benchmark):
         rows = rows.mapInArrow(_keep(some), rows.schema)
     return rows.select("row.*")
@@ -175,7 +176,9 @@ def _keep(items: list[tuple[int, str]]):
 
         finder = Finder(items)
         for batch in batches:
-            yield batch.filter(pa.array([not finder.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            for i in range(0, batch.num_rows, DOCS):
+                part = batch.slice(i, DOCS)
+                yield part.filter(pa.array([not finder.matches(t) for t in texts_of(part)], pa.bool_()))
 
     return task
 

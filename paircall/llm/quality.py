@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_of, text_or_empty
+from .common import carried, text_or_empty, texts_of
 
 ROWS, DIM, REACH = 2048, 32, 2
 SAMPLE = 20_000
@@ -194,7 +194,7 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, columns: list[
     """One row per document: `row` (a struct of `columns`, by default doc_id) and `score`."""
     columns = ["doc_id"] if columns is None else columns
     # One structure for all other columns: their names cannot clash with the text's.
-    rows = docs.select(row_of(columns), text_or_empty().alias("text"))
+    rows = carried(docs, columns)
     shape = rows.select("row").schema
 
     def task(batches):
@@ -204,7 +204,7 @@ def score(docs: DataFrame, network: Network, vectors: np.ndarray, columns: list[
         for batch in batches:
             for i in range(0, batch.num_rows, DOCS):
                 part = batch.slice(i, DOCS)
-                found = network.probability(pooled(part.column("text").to_pylist(), vectors, memo))
+                found = network.probability(pooled(texts_of(part), vectors, memo))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found.astype(float))], names=["row", "score"])
 
     return rows.mapInArrow(task, shape.add("score", "double"))
