@@ -1,11 +1,12 @@
 """Language identification by word-first backoff.
 
 Learning counts the words of each language and their character n-grams of four letters down to one (with marks at the
-word's ends) over all texts with a language. All learned units count; they stay in a stored table. The WORDS most
+word's ends) over all texts with a language. All learned units count; they stay in a stored table. At most WORDS of the most
 frequent words are sent to the tasks, for speed only; every other word of a text is looked up by a join. A document's
 words are scored one by one: a known word by its log frequency in each language; an unseen one by the mean of its known
-4-grams; if none is known, by 3-grams, and so on. The language with the highest sum wins. None of the words that are
-joined is frequent enough to make a hot key.
+4-grams; if none is known, by 3-grams, and so on. The language with the highest sum wins. A document gives each of its
+joined words once, with a count. Words that learning never saw may be in every document; an aggregation follows the
+join, so Spark may split such a key (skew join).
 
 Counting runs in tasks that flush their counters when these are full, and Spark adds the parts up.
 
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from .common import row_of, stored, text_or_empty
 
@@ -32,6 +33,7 @@ WORDS, LONGEST = 60_000, 4  # words that are sent to the tasks
 FLUSH = 400_000  # counters a task holds
 DOCS = 256
 UNKNOWN = "und"
+RARE = StructType().add("word", StringType()).add("n", LongType())
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -72,7 +74,7 @@ def count_words(docs: DataFrame, language: str) -> DataFrame:
 
 
 def count_units(words: DataFrame) -> DataFrame:
-    """(kind, language, unit, n) for n-grams of each length, from the counts of whole words."""
+    """(kind, language, unit, n) for n-grams of each length, from the counts of whole words; counts by batch, to be added."""
 
     def task(batches):
         for batch in batches:
@@ -85,8 +87,7 @@ def count_units(words: DataFrame) -> DataFrame:
             for (n, lang), part in counts.items():
                 yield pd.DataFrame({"kind": n, "language": lang, "unit": list(part), "n": list(part.values())})
 
-    parts = words.select("language", "unit", "n").mapInPandas(task, "kind int, language string, unit string, n long")
-    return parts.groupBy("kind", "language", "unit").agg(F.sum("n").alias("n"))
+    return words.select("language", "unit", "n").mapInPandas(task, "kind int, language string, unit string, n long")
 
 
 class Model:
@@ -124,24 +125,35 @@ class Model:
         return found
 
 
+def most_frequent(units: DataFrame, most: int) -> DataFrame:
+    """The rows of highest `all`, at most `most` of them: whole levels of counts, eight to a doubling."""
+    level = F.floor(F.log2("all") * 8)
+    held, least = 0, None
+    for row in sorted(units.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some 500 at most
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    return units.where(F.lit(False) if least is None else level >= least)
+
+
 def learn(docs: DataFrame, language: str = "lang") -> Model:
-    words = stored(count_words(docs, language).withColumn("kind", F.lit(0)), "words")
-    counts = words.unionByName(stored(count_units(words), "units"))
-    totals = counts.groupBy("kind", "language").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(totals["language"]))
+    words = stored(count_words(docs, language), "words")
+    languages = sorted(row["language"] for row in words.select("language").distinct().collect())
     if not languages:
         return Model([], [])
-    total = {(k, lang): n for k, lang, n in totals[["kind", "language", "n"]].itertuples(index=False)}
+    counts = words.select(F.lit(0).alias("kind"), "language", "unit", "n").unionByName(count_units(words))
     each = F.array(*(F.sum(F.when(F.col("language") == lang, F.col("n")).otherwise(0)) for lang in languages))
     units = stored(counts.groupBy("kind", "unit").agg(F.sum("n").alias("all"), each.alias("each")), "units")
-    sizes = {kind: n for kind, n in units.groupBy("kind").count().collect()}
+    total = F.array(*(F.sum(F.col("each")[i]) for i in range(len(languages))))
+    totals = {row["kind"]: row for row in units.groupBy("kind").agg(F.count("*").alias("units"), total.alias("total")).collect()}
 
     def scores(kind: int):
-        sums = [total.get((kind, lang), 0) + 0.5 * sizes.get(kind, 0) + 1 for lang in languages]
-        return F.array(*(F.log10((F.col("each")[i] + 0.5) / F.lit(float(s))) for i, s in enumerate(sums)))
+        size, total = (totals[kind]["units"], totals[kind]["total"]) if kind in totals else (0, [0] * len(languages))
+        return F.array(*(F.log10((F.col("each")[i] + 0.5) / F.lit(n + 0.5 * size + 1)) for i, n in enumerate(total)))
 
     kinds = [units.where(F.col("kind") == kind).select("kind", "unit", "all", scores(kind).alias("scores")) for kind in range(LONGEST + 1)]
-    rows = kinds[0].orderBy(F.col("all").desc(), "unit").limit(WORDS).collect()
+    rows = most_frequent(kinds[0], WORDS).select("unit", "scores").collect()
     values = np.array([row["scores"] for row in rows], dtype=np.float32).reshape(len(rows), len(languages))
     model = Model(languages, [({row["unit"]: i for i, row in enumerate(rows)}, values)])
     model.units = kinds
@@ -156,9 +168,9 @@ def _grams(n: int) -> Column:
 
 
 def looked_up(words: DataFrame, model: Model) -> DataFrame:
-    """(word, scores) for distinct `word`, from all learned units; no row for one without any known unit."""
-    left = stored(words.join(model.units[0].select(F.col("unit").alias("word"), "scores"), "word", "left"), "looked")
-    found, left = left.where("scores IS NOT NULL"), left.where("scores IS NULL").select("word")
+    """(word, scores) for distinct `word`, from all learned units, and for the other learned words; no row for a word without any known unit."""
+    found = model.units[0].select(F.col("unit").alias("word"), "scores")
+    left = stored(words.join(found.select("word"), "word", "left_anti"), "unseen")
     mean = F.array(*(F.avg(F.col("scores")[i]) for i in range(len(model.languages)))).alias("scores")
     for n in range(LONGEST, 0, -1):
         parts = left.select("word", F.explode(_grams(n)).alias("unit"))
@@ -174,7 +186,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     width = len(model.languages)
     if not width:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shape = rows.select("row").schema.add("no", "long").add("words", "long").add("sums", ArrayType(DoubleType())).add("rare", ArrayType(StringType()))
+    shape = rows.select("row").schema.add("no", "long").add("words", "long").add("sums", ArrayType(DoubleType())).add("rare", ArrayType(RARE))
     shared = docs.sparkSession.sparkContext.broadcast(model.tables[0])  # bounded by WORDS
 
     def task(batches):
@@ -189,22 +201,26 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
             for at in range(0, batch.num_rows, DOCS):
                 part = batch.slice(at, DOCS)
                 lists = [letter_words(t) for t in part.column("text").to_pylist()]
-                sums, rare = np.zeros((len(lists), width)), []
+                sums, rare, ends = np.zeros((len(lists), width)), {"word": [], "n": []}, [0]
                 for i, words in enumerate(lists):
                     ids = [known.get(w, -1) for w in words]
                     sums[i] = values[ids].sum(0, dtype=float) if ids else 0
-                    rare.append([w for w, at in zip(words, ids, strict=True) if at < 0])
+                    own = Counter(w for w, at in zip(words, ids, strict=True) if at < 0)
+                    rare["word"] += own.keys()
+                    rare["n"] += own.values()
+                    ends.append(len(rare["n"]))
                 offsets = np.arange(len(lists) + 1, dtype=np.int32) * width
+                pairs = pa.StructArray.from_arrays([pa.array(rare["word"], pa.string()), pa.array(rare["n"], pa.int64())], names=["word", "n"])
                 made = [
                     part.column("row"), pa.array(np.arange(no, no + len(lists))), pa.array(np.array([len(x) for x in lists], dtype=np.int64)),
-                    pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())), pa.array(rare, pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                 ]
                 no += len(lists)
                 yield pa.RecordBatch.from_arrays(made, names=["row", "no", "words", "sums", "rare"])
 
     found = stored(rows.mapInArrow(task, shape), "sums")
-    rare = found.select("no", F.explode("rare").alias("word")).groupBy("no", "word").agg(F.count("*").alias("n"))
-    scored = looked_up(found.select(F.explode("rare").alias("word")).distinct(), model)
+    rare = found.select("no", F.inline("rare"))
+    scored = looked_up(rare.select("word").distinct(), model)
     more = rare.join(scored, "word").groupBy("no").agg(F.array(*(F.sum(F.col("scores")[i] * F.col("n")) for i in range(width))).alias("more"))
     both = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
     total = found.drop("rare").join(more, "no", "left").select("row", "words", both.alias("sums"))
