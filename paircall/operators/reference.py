@@ -15,15 +15,14 @@ from .sizing import broadcast_if_small
 
 # Chunks that are gathered at once when an interval is put together.
 _GATHER = 1024
+# Intervals that meet one copy of a chunk.
+_SHARE = 10_000
+_LARGEST = (1 << 31) - 1
 
 
-def contig_lengths(chunks: DataFrame) -> DataFrame:
-    """`chrom, length, last_base, width` of every contig in the chunk table."""
-    end = F.col("chunk_start").cast("long") + F.length("seq")
-    last = F.max(end * 128 + F.ascii(F.upper(F.right("seq", F.lit(1)))))
-    return chunks.groupBy("chrom").agg(last.alias("_last"), F.max("width").alias("width")).select(
-        "chrom", F.shiftright("_last", 7).alias("length"), F.char(F.col("_last") % 128).alias("last_base"), "width"
-    )
+def last_chunks(chunks: DataFrame) -> DataFrame:
+    """`chrom, _last, _width`: the number of the last chunk of every contig. No sequence is read."""
+    return chunks.groupBy("chrom").agg(F.max("chunk_id").alias("_last"), F.max("width").alias("_width"))
 
 
 def _lookup(chunks: DataFrame, *renamed: Column) -> DataFrame:
@@ -36,39 +35,58 @@ def _lookup(chunks: DataFrame, *renamed: Column) -> DataFrame:
 def with_reference_base(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add the upper-case `ref_base`; past the end of a contig its last base, for an unknown contig an error.
 
-    Sites meet the chunk that holds them, whose number follows from the width the table carries. No base is spread to
-    a row of its own, and how the join runs (a small table is broadcast) is left to Spark: there is one way to look up.
+    Sites meet the chunk that holds them, whose number follows from the width the table carries; those past the end meet
+    the last chunk. The sequence is read once: chunk numbers tell where a contig ends. No base is spread to a row of its
+    own, and how the join runs (a small table is broadcast) is left to Spark: there is one way to look up. A chunk that
+    is missing or too short is an error.
     """
-    ends = broadcast_if_small(contig_lengths(chunks).select("chrom", "last_base", "width"))
-    unknown = F.raise_error(F.concat(F.lit("contig not in the reference: "), F.col("chrom"))).cast("string")
-    placed = sites.join(ends, "chrom", "left").withColumn("_chunk", F.floor(F.col("pos") / F.col("width")).cast("int"))
+    placed = sites.join(broadcast_if_small(last_chunks(chunks)), "chrom", "left")
+    placed = placed.withColumn("_chunk", F.least(F.floor(F.col("pos") / F.col("_width")), "_last").cast("int"))
     found = placed.join(_lookup(chunks, F.col("chunk_id").alias("_chunk")), ["chrom", "_chunk"], "left")
-    offset = F.col("pos") - F.col("chunk_start") + 1
-    base = F.when(offset <= F.length("_seq"), F.upper(F.substring("_seq", offset.cast("int"), F.lit(1))))
-    return found.withColumn("ref_base", F.coalesce(base, "last_base", unknown)).select(*sites.columns, "ref_base")
+    offset, length = F.col("pos") - F.col("chunk_start") + 1, F.length("_seq")
+    held = (offset <= length) | (F.col("_chunk") == F.col("_last"))
+    base = F.when(held, F.upper(F.substring("_seq", F.least(offset, length).cast("int"), F.lit(1))))
+    what = F.when(F.col("_width").isNull(), "contig not in the reference: ").otherwise("no such chunk in the reference: ")
+    missing = F.raise_error(F.concat(what, "chrom", F.lit(" "), F.col("pos").cast("string"))).cast("string")
+    return found.withColumn("ref_base", F.coalesce(base, missing)).select(*sites.columns, "ref_base")
+
+
+def _shared_out(spread: DataFrame, chunks: DataFrame, share: int) -> DataFrame:
+    """Interval rows with their chunk. A chunk that more than `share` of them want is dealt to groups of that size.
+
+    Only such chunks are copied, and their list has at most one row for every `share` interval rows.
+    """
+    many = spread.groupBy("chrom", "chunk_id").agg(F.count("*").alias("n")).where(F.col("n") > share)
+    many = many.select("chrom", "chunk_id", F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    own = F.coalesce(F.pmod(F.xxhash64("_start", "_end"), F.col("_parts")), F.lit(0)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
+    left = spread.join(many, ["chrom", "chunk_id"], "left").withColumn("_part", own).drop("_parts")
+    right = _lookup(chunks, F.col("chunk_id")).join(many, ["chrom", "chunk_id"], "left").withColumn("_part", every).drop("_parts")
+    return left.join(right, ["chrom", "chunk_id", "_part"], "left")
 
 
-def fetch_intervals(intervals: DataFrame, chunks: DataFrame) -> DataFrame:
+def fetch_intervals(intervals: DataFrame, chunks: DataFrame, share: int = _SHARE) -> DataFrame:
     """Add `sequence`, the reference over [start, end) clipped to the contig, to every interval row.
 
     A null `end` reaches to the end of the contig. Equal intervals are put together once and all get it; an unknown
-    contig is an error.
+    contig is an error. Any number of intervals may lie over one locus.
     """
-    lengths = broadcast_if_small(contig_lengths(chunks).select("chrom", "length", "width"))
-    unknown = F.raise_error(F.concat(F.lit("contig not in the reference: "), F.col("chrom"))).cast("int")
-    limit = F.coalesce("length", unknown)
-    clipped = intervals.join(lengths, "chrom", "left").select(
+    unknown = F.raise_error(F.concat(F.lit("contig not in the reference: "), F.col("chrom"))).cast("long")
+    # Up to where chunks reach; the pieces end where the sequence does.
+    limit = F.least(F.coalesce((F.col("_last").cast("long") + 1) * F.col("_width"), unknown), F.lit(_LARGEST))
+    clipped = intervals.join(broadcast_if_small(last_chunks(chunks)), "chrom", "left").select(
         *intervals.columns,
-        "width",
+        "_width",
         F.least(F.greatest(F.coalesce("end", limit), F.lit(0)), limit).cast("int").alias("_end"),
         F.least(F.greatest("start", F.lit(0)), F.coalesce("end", limit), limit).cast("int").alias("_start"),
     )
     clipped = clipped.withColumn("_start", F.greatest("_start", F.lit(0)))
     keys = ["chrom", "_start", "_end"]
     last = F.greatest(F.col("_end") - 1, F.col("_start"))
-    number = lambda at: F.floor(at / F.col("width")).cast("int")
-    spread = clipped.select(*keys, "width").distinct().withColumn("chunk_id", F.explode(F.sequence(number(F.col("_start")), number(last))))
-    pieces = spread.join(_lookup(chunks, F.col("chunk_id")), ["chrom", "chunk_id"], "left")
+    number = lambda at: F.floor(at / F.col("_width")).cast("int")
+    spread = clipped.select(*keys, "_width").distinct()
+    spread = spread.select(*keys, F.explode(F.sequence(number(F.col("_start")), number(last))).alias("chunk_id"))
+    pieces = _shared_out(spread, chunks, share)
     first = F.greatest(F.col("_start"), F.col("chunk_start"))
     until = F.least(F.col("_end"), F.col("chunk_start") + F.length("_seq"))
     part = F.when(until > first, F.substring("_seq", first - F.col("chunk_start") + 1, until - first)).otherwise("")

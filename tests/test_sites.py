@@ -165,6 +165,36 @@ def test_fetch_intervals(spark, chunk):
         fetch_intervals(spark.createDataFrame([("9", 0, 4)], "chrom string, start int, end int"), chunks).collect()
 
 
+@pytest.mark.parametrize("share", [1, 3])
+def test_many_intervals_over_one_locus(spark, share):
+    """A chunk that many intervals want is dealt to several groups; the sequences are the same."""
+    chunks = brute.chunks_frame(spark, REFERENCE, 7)
+    name, text = next(iter(REFERENCE.items()))
+    wanted = [(name, start, end) for start in range(6) for end in range(start, 25)] + [(name, 0, None), (name, 50, 900), (name, 900, 950)]
+    frame = spark.createDataFrame(wanted * 2, "chrom string, start int, end int")
+    got = Counter((r.start, r.end, r.sequence) for r in fetch_intervals(frame, chunks, share).collect())
+    assert got == Counter((a, b, text[a:b]) for _, a, b in wanted * 2)
+
+
+def test_reference_is_read_once(spark, tmp_path):
+    """Where contigs end is read from the chunks' numbers: one scan has the sequence."""
+    brute.chunks_frame(spark, REFERENCE, 16).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    name, text = next(iter(REFERENCE.items()))
+    at = spark.createDataFrame([(name, p) for p in (0, 15, 16, 47, 59, 60, 63, 64, 500)], "chrom string, pos int")
+    found = with_reference_base(at, chunks)
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and sum("seq:string" in line for line in scans) == 1
+    assert {r.pos: r.ref_base for r in found.collect()} == {p: text[min(p, len(text) - 1)].upper() for p in (0, 15, 16, 47, 59, 60, 63, 64, 500)}
+
+
+def test_missing_chunk_is_an_error(spark):
+    chunks = brute.chunks_frame(spark, REFERENCE, 16).where("chunk_id <> 1")
+    at = spark.createDataFrame([(next(iter(REFERENCE)), 17)], "chrom string, pos int")
+    with pytest.raises(Exception, match="no such chunk in the reference"):
+        with_reference_base(at, chunks).collect()
+
+
 def test_wrong_width_is_an_error(spark, chunks):
     at = spark.createDataFrame([("1", 40)], "chrom string, pos int")
     with pytest.raises(Exception, match="another width"):
