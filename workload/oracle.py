@@ -254,7 +254,7 @@ def ess_columns(model: str) -> list[str]:
     return names
 
 
-def em(model: str) -> str:
+def em(model: str, select: str | None = None) -> str:
     """EM until the relative change of the log-likelihood falls below 1e-6, on every third site."""
     sampled = f"""ordered AS (SELECT *, row_number() OVER (ORDER BY chrom, pos) AS i FROM sites WHERE {DEPTH_FILTER}),
 train AS MATERIALIZED (SELECT * EXCLUDE (i) FROM ordered WHERE i % 3 = 0)"""
@@ -271,7 +271,7 @@ train AS MATERIALIZED (SELECT * EXCLUDE (i) FROM ordered WHERE i % 3 = 0)"""
                 rows.append(f"SELECT 'mu_{s}', '{g}', round(mu_{s}_{g}, 5) FROM last")
     rows += ["SELECT 'log_likelihood', 'last', round(ll, 5) FROM last", "SELECT 'iterations', 'all', step FROM last"]
     last = "last AS MATERIALIZED (SELECT * FROM loop ORDER BY step DESC LIMIT 1)"
-    return with_(*start, start_params(), loop, last, select="\nUNION ALL ".join(rows)).replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_(*start, start_params(), loop, last, select=select or "\nUNION ALL ".join(rows)).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 LABELS = {
@@ -435,4 +435,12 @@ ORACLE |= {
       SELECT 'pi' AS component, genotype, round(value / sum(value) OVER (), 6) AS value FROM w
       UNION ALL SELECT component, genotype, round(value, 6) FROM m""",
 }
+ORACLE |= {
+    "priors_round_trip": f"""SELECT 'pi' AS component, {list(JOINT)}[l_partkey % 9 + 1] AS genotype, round(count(*) / 100 + 1, 6) AS value FROM lineitem GROUP BY ALL
+      UNION ALL SELECT CASE WHEN l_linestatus = 'F' THEN 'mu_N' ELSE 'mu_T' END || CASE WHEN l_linenumber > 2 THEN '_alpha' ELSE '_beta' END,
+        {list(GENOTYPES)}[l_partkey % 3 + 1], round(sum(l_quantity), 6) FROM lineitem GROUP BY ALL""",
+    "training_history": em("binomial", "SELECT CAST(step AS BIGINT) AS iteration, round(ll, 5) AS log_likelihood, round(ll - before, 5) AS change, "
+        "round((ll - before) / abs(before), 5) AS relative_change, "
+        + rounded([f"pi_{g}" for g in JOINT] + [f"mu_{s}_{g}" for s in "NT" for g in GENOTYPES], 5) + " FROM loop WHERE step > 0"),
+}
 ORACLE |= {f"{name}_wide": ORACLE[name] for name in ("reference_lookup", "reference_interval")}

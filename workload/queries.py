@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 
 from paircall.functions import bases, cigar, flags, likelihood, logspace, quality, tags
 from paircall.functions import regions as region_functions
-from paircall.models import MODELS, BinomialParams, expected_statistics, score, training_table
+from paircall.models import MODELS, BinomialParams, BinomialPriors, expected_statistics, score, training_table
 from paircall.models.density import LOGLIKS, Binomial, model_by_name
 from paircall.operators import labels, pileup, positions, ranges, reads, reference, sites
 from paircall.operators.sampling import genome_rank
 from paircall.plans import classify, paired_observations, train, training_rows, training_sites
 from paircall.plans.classify import scored_sites
 from paircall.schema import COUNTS, GENOTYPES, JOINT_GENOTYPES, POSTERIORS
-from paircall.sinks import results_table, results_text, write_params
+from paircall.sinks import results_table, results_text, write_history, write_params
 from paircall.sinks.tables import counts_table, in_order
-from paircall.sources import read_params
+from paircall.sources import read_params, read_priors
 from paircall.sources.sam import parse_contigs, parse_read_groups
 from paircall.sources.tables import parse_positions
 
@@ -512,18 +512,42 @@ def parameter_rows(spark, sf):
     return weights.unionByName(mu)
 
 
+def shared_path(spark, name):
+    """A new folder that all executors see: where the session keeps checkpoints, else its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def parameters_round_trip(spark, sf):
     """Parameters of the items, written as a table and read back; weights add up to one."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder}/parameters-{uuid.uuid4().hex}"
+    path = shared_path(spark, "parameters")
     write_params(spark, BinomialParams.from_rows([tuple(r) for r in parameter_rows(spark, sf).collect()]), path)
     rows = read_params(spark, path, "binomial").to_rows()
     return rounded(spark.createDataFrame(rows, "component string, genotype string, value double"), ["value"])
 
 
+def prior_rows(spark, sf):
+    """Rows of a table of priors from the items: a joint genotype's prior is one and its items, mu's are sums of sizes."""
+    items = table(spark, sf, "lineitem")
+    joint = F.element_at(F.array(*map(F.lit, JOINT_GENOTYPES)), (F.col("l_partkey") % 9 + 1).cast("int"))
+    weights = items.groupBy(joint.alias("genotype")).agg((F.count("*") / 100 + 1).alias("value")).select(F.lit("pi").alias("component"), "genotype", "value")
+    single = F.element_at(F.array(*map(F.lit, GENOTYPES)), (F.col("l_partkey") % 3 + 1).cast("int"))
+    sample = F.when(F.col("l_linestatus") == "F", "mu_N").otherwise("mu_T")
+    side = F.when(F.col("l_linenumber") > 2, "_alpha").otherwise("_beta")
+    shapes = items.groupBy(F.concat(sample, side).alias("component"), single.alias("genotype")).agg(F.sum("l_quantity").alias("value"))
+    return weights.unionByName(shapes)
+
+
+@query
+def priors_round_trip(spark, sf):
+    """Priors from the items, written as a table and read back; they are no shares, so nothing is normalised."""
+    path = shared_path(spark, "priors")
+    write_params(spark, BinomialPriors.from_rows([tuple(r) for r in prior_rows(spark, sf).collect()]), path)
+    rows = read_priors(spark, path, "binomial").to_rows()
+    return rounded(spark.createDataFrame(rows, "component string, genotype string, value double"), ["value"])
+
+
 @query
 def classify_reads(spark, sf):
     """From SAM text to calls: flag filter, pileup, reference, counting, quality model."""
@@ -611,3 +635,15 @@ def train_beta_binomial(spark, sf):
 @query
 def train_quality(spark, sf):
     return trained(spark, sf, "quality")
+
+
+@query
+def training_history(spark, sf):
+    """The history of a fit on every third site, as the sink writes it: one row for each iteration."""
+    path = shared_path(spark, "history")
+    write_history(spark, train(inputs.observations(spark, sf), model="binomial", skip=3, **DEPTHS), path)
+    names = {"pi": JOINT_GENOTYPES, "mu_N": GENOTYPES, "mu_T": GENOTYPES}
+    values = [F.col(field)[i].alias(f"{field}_{g}") for field, genotypes in names.items() for i, g in enumerate(genotypes)]
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)  # the first iteration has no change
+    df = spark.read.parquet(path).select("iteration", "log_likelihood", number("change"), number("relative_change"), *values)
+    return rounded(df, df.columns[1:], 5).withColumn("iteration", F.col("iteration").cast("long"))
