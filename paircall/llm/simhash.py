@@ -10,7 +10,11 @@ partners only within radius // segments of the border. With 5 segments and radiu
 to one shard per segment; with one segment it is the classical tree with overlapping shards.
 
 Trees are fitted on at most SAMPLE fingerprints (their number of leaves is bounded by that), all fingerprints are sent
-through them. A shard of more than SHARD fingerprints is cut into blocks, and every two blocks meet in a task of their
+through them. As the input grows, so would shards, and with them the pairs to compare by the square. A shard of more
+than SPLIT fingerprints is therefore cut again, by trees over the bits outside its segment: these are cut into
+`segments` parts in turn, and of two fingerprints at `radius` or fewer bits some part differs in at most
+radius // segments, so they meet in a shard of that part's tree. Two levels make some 500 * 500 shards of a segment and
+a part. What then holds more than SHARD fingerprints is cut into blocks, and every two blocks meet in a task of their
 own, so one dense group is no single task.
 
 In a shard, groups grow from one fingerprint: the unvisited ones are ordered by their distance to the shard's vantage
@@ -37,9 +41,9 @@ from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, SEED = 4, 4, 5, 42
 SAMPLE, LEAF = 8192, 16  # fingerprints a tree is fitted on, and of these in a leaf
-SHARD = 2000
+SHARD, SPLIT = 2000, 20_000  # fingerprints that meet at once, and of a shard that goes through second trees
 BITS = 64
-SCATTER = 0x9E3779B97F4A7C15  # an odd multiplier, to deal a shard's fingerprints to its blocks
+_DEALT = "tree int, leaf long, part int, inner long, fp long"
 
 
 def shingle_hashes(parts: list[str], shingle: int) -> np.ndarray:
@@ -82,9 +86,10 @@ def fingerprints(docs: DataFrame, columns: list[str] | None = None, shingle: int
     return rows.mapInArrow(task, rows.select("row").schema.add("fp", "long"))
 
 
-def masks(segments: int) -> list[int]:
-    """Bit masks of the segments; neighbouring bits go to different segments."""
-    return [sum(1 << b for b in range(s, BITS, segments)) for s in range(segments)]
+def masks(segments: int, without: int = 0) -> list[int]:
+    """Bit masks of the segments of all bits but those of `without`; neighbouring bits go to different segments."""
+    bits = [b for b in range(BITS) if not without >> b & 1]
+    return [sum(1 << b for b in bits[s::segments]) for s in range(segments)]
 
 
 class Tree:
@@ -183,25 +188,34 @@ def links(points: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) ->
                 yield pd.DataFrame({"tree": number, "leaf": found, "n": n})
 
     counts = points.mapInPandas(sizes, "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
-    # At most one row per leaf, of which there are fewer than segments * SAMPLE.
-    blocks = {(t, leaf): -(-n // SHARD) for t, leaf, n in counts.where(F.col("n") > SHARD).toPandas().itertuples(index=False)}
+    # At most one row per leaf, of which there are fewer than segments * SAMPLE. One segment leaves no bits to cut again.
+    full = counts.where(F.col("n") > SPLIT).toPandas() if segments > 1 else pd.DataFrame({"tree": [], "leaf": []})
+    full = {number: leaves.to_numpy(np.int64) for number, leaves in full.groupby("tree")["leaf"]}
+    seconds = {t: [Tree(sample, mask, seed) for seed, mask in enumerate(masks(segments, int(trees[t].mask)))] for t in full}
 
     def deal(batches):
         for part in batches:
             for number, leaf, fps in placed(part):
-                n = np.array([blocks.get((number, int(x)), 1) for x in leaf], dtype=np.int64)
-                # Each block meets every block of its shard; the pair is named by its two numbers.
-                own = (fps.view(np.uint64) * np.uint64(SCATTER) >> np.uint64(33)).astype(np.int64) % n
-                at = np.repeat(np.arange(len(fps)), n)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"tree": number, "leaf": leaf[at], "a": np.minimum(own[at], other), "b": np.maximum(own[at], other), "fp": fps[at]})
+                again = np.isin(leaf, full.get(number, []))
+                yield pd.DataFrame({"tree": number, "leaf": leaf[~again], "part": -1, "inner": -1, "fp": fps[~again]})
+                leaf, fps = leaf[again], fps[again]
+                for piece, tree in enumerate(seconds.get(number, [])):
+                    at, inner = tree.shards(fps.view(np.uint64), reach)
+                    yield pd.DataFrame({"tree": number, "leaf": leaf[at], "part": piece, "inner": inner, "fp": fps[at]})
 
     def meet(_, part: pd.DataFrame) -> pd.DataFrame:
         node, to = stars(part["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"node": node, "to": to})
 
-    dealt = points.mapInPandas(deal, "tree int, leaf long, a long, b long, fp long")
-    return dealt.groupBy("tree", "leaf", "a", "b").applyInPandas(meet, "node long, to long")
+    shard = ["tree", "leaf", "part", "inner"]
+    dealt = points.mapInPandas(deal, _DEALT)
+    large = dealt.groupBy(*shard).agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    # Each block meets every block of its shard; the pair is named by its two numbers.
+    blocks = F.coalesce(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("long")
+    dealt = dealt.join(large, shard, "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(*shard, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    return dealt.groupBy(*shard, "a", "b").applyInPandas(meet, "node long, to long")
 
 
 def near_duplicates(docs: DataFrame, columns: list[str] | None = None, radius: int = RADIUS, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:

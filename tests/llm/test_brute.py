@@ -120,6 +120,35 @@ def test_links(spark, segments, monkeypatch):
     assert all(min(group) == name for name, group in got.items())
 
 
+@pytest.mark.parametrize("segments", (2, 5))
+def test_links_in_dense_shard(spark, segments, monkeypatch):
+    """One segment equal in nine of ten fingerprints: its shard goes through second trees, and these need blocks too."""
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    monkeypatch.setattr(simhash, "SPLIT", 40)
+    mask = simhash.masks(segments)[0]
+    values = list(dict.fromkeys(v & ~mask if i % 10 else v for i, v in enumerate(near(segments + 20, 600))))
+    signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
+    points = spark.createDataFrame([(v,) for v in signed], "fp long")
+    seen = []
+    tree = simhash.Tree
+    monkeypatch.setattr(simhash, "Tree", lambda sample, m, seed: seen.append(m) or tree(sample, m, seed))
+    roots = {r.node: r.root for r in components.components(simhash.links(points, 4, segments)).collect()}
+    tops = dict(zip(signed, reachable(values, 4), strict=True))
+    groups = defaultdict(list)
+    for value, top in tops.items():
+        groups[top].append(value)
+    assert [roots.get(v, v) for v in signed] == [min(groups[tops[v]]) for v in signed]
+    assert set(simhash.masks(segments, mask)) <= set(seen[segments:])
+    assert any(len(g) > 1 for g in groups.values())
+
+
+@pytest.mark.parametrize("segments", (2, 3, 5))
+def test_segments_cover_other_bits(segments):
+    for mask in simhash.masks(segments):
+        parts = simhash.masks(segments, mask)
+        assert sum(parts) == (1 << 64) - 1 - mask and not any(a & b for i, a in enumerate(parts) for b in parts[:i])
+
+
 @pytest.mark.parametrize("segments", (1, 3, 5))
 def test_partners_share_a_shard(segments):
     points = np.array(near(9, 300), dtype=np.uint64)
