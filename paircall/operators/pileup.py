@@ -12,6 +12,7 @@ from ..schema import BASE_CODES
 from .segments import segments
 
 _MATCH = ("M", "=", "X")
+_STRETCH = 10  # a stretch has 2 ** _STRETCH positions
 
 
 def _segments() -> Column:
@@ -31,6 +32,16 @@ def _segments() -> Column:
     return F.when(plain, F.array(F.struct(*single))).otherwise(segments(F.when(~plain, cigar), pos))
 
 
+def side_by_side(reads: DataFrame) -> DataFrame:
+    """The same reads, those that begin in one stretch of a contig side by side.
+
+    Aggregates over the observations then combine most entries of a position in one task and shuffle little more than
+    their results; of reads in any order they shuffle nearly every observation, and a read has many. A stretch is not
+    bound to one task: Spark cuts stretches, or a single position, that are larger than its advisory partition size.
+    """
+    return reads.withColumn("_stretch", F.shiftright("pos", _STRETCH)).hint("rebalance", "chrom", "_stretch").drop("_stretch")
+
+
 def expand(reads: DataFrame, annotate: bool = False, ref_skips: bool = True) -> DataFrame:
     """One row per read and covered reference position: `sample, chrom, pos, base, bq, mq`.
 
@@ -41,6 +52,8 @@ def expand(reads: DataFrame, annotate: bool = False, ref_skips: bool = True) ->
     read; on strings it costs a walk from the start and long reads become quadratic. The explode
     refers to both columns, so they are read once per segment and not once per base.
     """
+    needed = ["sample", "chrom", "pos", "mapq", "cigar", "seq", "qual"] + (["qname"] if annotate else [])
+    reads = side_by_side(reads.select(*needed))
     carried = ["sample", "chrom", F.col("mapq").alias("mq")]
     if annotate:
         end = reference_end(F.col("pos"), F.col("cigar"))
