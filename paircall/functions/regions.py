@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SUFFIX = "^(.*):([0-9,]*)(?:(-)([0-9,]*))?$"
+_BLANKS = " \t\n\x0b\f\r"
+_INTERVAL = "^[0-9,]*(?:-[0-9,]*)?\\z"
+_LINE_ENDS = "\u0085\u2028\u2029"  # line ends besides these blanks; a region holds none but for one at its end
 
 
 def _number(text: Column) -> Column:
@@ -14,16 +19,23 @@ def _number(text: Column) -> Column:
 
 
 def region_parts(text: Column) -> Column:
-    """`(whole, chrom, start, end)` of a region string, unchecked; `whole` is the string without white space."""
-    compact = F.regexp_replace(text, "\\s+", "")
-    part = lambda group: F.regexp_extract(compact, _SUFFIX, group)
-    begin = _number(part(2))
-    has_interval = compact.rlike(_SUFFIX)
+    """`(whole, chrom, start, end)` of a region string, unchecked; `whole` is the string without white space.
+
+    The interval is what follows the last colon: digits and commas, and at most one dash. It is found by searches for single
+    characters, and one pattern tells what it is; a pattern for each part costs more.
+    """
+    compact = reduce(lambda found, blank: F.replace(found, F.lit(blank), F.lit("")), _BLANKS, text)
+    ends = reduce(or_, [compact.endswith(c) for c in _LINE_ENDS])
+    line = F.when(ends, F.left(compact, F.length(compact) - 1)).otherwise(compact)
+    interval = F.substring_index(line, ":", -1)
+    one_line = ~reduce(or_, [line.contains(c) for c in _LINE_ENDS])
+    has_interval = line.contains(":") & interval.rlike(_INTERVAL) & one_line
+    begin = _number(F.substring_index(interval, "-", 1))
     return F.struct(
         compact.alias("whole"),
-        F.when(has_interval, part(1)).otherwise(compact).alias("chrom"),
+        F.when(has_interval, F.left(line, F.length(line) - F.length(interval) - 1)).otherwise(compact).alias("chrom"),
         F.when(has_interval, F.greatest(begin - 1, F.lit(0))).otherwise(0).cast("long").alias("start"),
-        F.when(has_interval & (part(3) == "-"), _number(part(4))).cast("long").alias("end"),
+        F.when(has_interval & interval.contains("-"), _number(F.substring_index(interval, "-", -1))).cast("long").alias("end"),
     )
 
 

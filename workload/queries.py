@@ -14,6 +14,7 @@ from paircall.models import MODELS, BinomialParams, BinomialPriors, expected_sta
 from paircall.models.density import LOGLIKS, Binomial, model_by_name
 from paircall.operators import labels, pileup, positions, ranges, reads, reference, sites
 from paircall.operators.sampling import genome_rank
+from paircall.operators.sizing import spread
 from paircall.plans import classify, paired_observations, train, training_rows, training_sites
 from paircall.plans.classify import scored_sites
 from paircall.schema import COUNTS, GENOTYPES, JOINT_GENOTYPES, POSTERIORS
@@ -211,7 +212,7 @@ def region_parse(spark, sf):
         F.concat("l_returnflag", F.lit(" : "), (key + 1).cast("string"), F.lit(" - "), (key + 9).cast("string")),
         F.concat(F.lit("HLA:"), "l_returnflag", F.lit(":x-"), key.cast("string")),
     )
-    df = table(spark, sf, "lineitem").select(F.posexplode(forms).alias("form", "text"))
+    df = spread(table(spark, sf, "lineitem").select("l_partkey", "l_returnflag")).select(F.posexplode(forms).alias("form", "text"))
     r = region_functions.parse_region(F.col("text"))
     return df.select("form", r.alias("r")).groupBy(long("form"), "r.chrom", "r.start", "r.end").agg(F.count("*").alias("n"))
 
