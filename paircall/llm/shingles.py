@@ -1,10 +1,14 @@
 """Near-duplicates by shingles: texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more.
 
-Equal texts (the same words in the same order, by a 64-bit hash) are merged first. Candidates share one of BANDS keys,
-each made of ROWS least hashes of the text's shingles; two texts of similarity s share none with probability
-(1 - s**ROWS)**BANDS, which is below 1e-8 at 0.8 and less above. Every link is then decided by the exact similarity.
-
-Candidates are tested in two rounds. First each text of a key against one text of that key, another one for each key;
+Equal texts (the same words in the same order, by a 64-bit hash) are merged first. Candidates come from two sources. One is
+op8's: SimHash fingerprints, here of the same five-word shingles, linked at 4 or fewer differing bits by vantage-point
+trees; each text of a fingerprint meets one text of it, and that one the first of its fingerprint's star. Most texts of a
+similarity of 0.8 are further apart than any radius at which trees exclude much, so the other source has no bound on
+bits: texts that share one of BANDS keys, each made of ROWS least hashes of the text's shingles; two texts of similarity
+s share none with probability (1 - s**ROWS)**BANDS, which is below 1e-8 at 0.8 and less above. Every link of either
+source is then decided by the exact similarity.
+
+Candidates are tested in two rounds. The pairs by fingerprints go with the first one. First each text of a key against one text of that key, another one for each key;
 this joins large groups of copies at a cost that grows with their size only. Keys whose texts are by then in several
 components meet as a whole, once for each set of texts: their texts are gathered in blocks of BLOCK, every two blocks
 in a task of their own, and all pairs of different components are compared. So no pair of candidates is left untested.
@@ -23,7 +27,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from .common import carried, stored, texts_of, words
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import links as near_fingerprints
+from .simhash import majority, shingle_hashes
 
 SHINGLE, LEAST = 5, (4, 5)  # a pair is linked if what is shared is at least 4/5 of the union
 BANDS, ROWS, SEED = 35, 4, 42
@@ -46,10 +51,11 @@ def text_id(parts: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(parts).encode(), SEED)
 
 
-def band_keys(parts: list[str]) -> np.ndarray:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a text from the hashes of its shingles."""
     least = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
-    if parts:
-        hashes = (shingle_hashes(parts, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+    if len(hashes):
+        hashes = (hashes >> np.uint64(32)).astype(np.uint32)
         for i in range(0, len(hashes), 1024):
             least = np.minimum(least, (hashes[i : i + 1024] * _FACTORS[:, None] + _ADDED[:, None]).min(1))
     keys = _OWN.copy()
@@ -65,10 +71,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _identified(docs: DataFrame, columns: list[str], keys: bool = False, text: bool = False) -> DataFrame:
-    """`row`, `id` of the text and, if asked for, its `keys` and its words as `text`."""
+    """`row`, `id` of the text and, if asked for, its `keys` with its fingerprint `fp`, and its words as `text`."""
     rows = carried(docs, columns)
     shape = rows.select("row").schema.add("id", "long")
-    shape = shape.add("keys", ArrayType(LongType())) if keys else shape
+    shape = shape.add("keys", ArrayType(LongType())).add("fp", "long") if keys else shape
     shape = shape.add("text", "string") if text else shape
 
     def task(batches):
@@ -80,8 +86,12 @@ def _identified(docs: DataFrame, columns: list[str], keys: bool = False, text: b
                 lists = [words(t) for t in texts_of(part)]
                 found = {"row": part.column("row"), "id": pa.array(np.array([text_id(x) for x in lists], dtype=np.uint64).view(np.int64))}
                 if keys:
-                    flat = np.concatenate([band_keys(x) for x in lists]) if lists else np.empty(0, np.uint64)
-                    found["keys"] = pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * BANDS, pa.array(flat.view(np.int64)))
+                    flat, prints = np.empty((len(lists), BANDS), np.uint64), np.empty(len(lists), np.uint64)
+                    for i, x in enumerate(lists):
+                        hashes = shingle_hashes(x, SHINGLE) if x else np.empty(0, "<u8")
+                        flat[i], prints[i] = band_keys(hashes), majority(hashes)
+                    found["keys"] = pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * BANDS, pa.array(flat.ravel().view(np.int64)))
+                    found["fp"] = pa.array(prints.view(np.int64))
                 if text:
                     found["text"] = pa.array([" ".join(x) for x in lists], pa.string())
                 yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
@@ -145,19 +155,30 @@ def _met(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.join(texts, "id").groupBy("key", "x", "y").applyInPandas(meet, "node long, to long")
 
 
+def fingerprint_pairs(points: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts (id, fp) whose fingerprints are linked. One text stands for each fingerprint."""
+    prints = stored(points.groupBy("fp").agg(F.min("id").alias("first")), "prints")
+    equal = points.select("id", "fp").join(prints, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    ends = lambda name, to: prints.select(F.col("fp").alias(name), F.col("first").alias(to))
+    near = near_fingerprints(prints.select("fp")).join(ends("node", "x"), "node").join(ends("to", "y"), "to")
+    return equal.where("a != b").unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def links(docs: DataFrame, points: DataFrame) -> DataFrame:
-    """(node, root) of all texts that have a similar one, for stored `points` (id, keys) of the distinct texts of `docs`."""
+    """(node, root) of all texts that have a similar one, for stored `points` (id, keys, fp) of the distinct texts of `docs`."""
+    near = stored(fingerprint_pairs(points).distinct(), "near")
     bands = points.select("id", F.explode("keys").alias("key"))
     # Of each key one text, drawn by the key, and a sum that is equal for equal sets of texts.
     salted = F.struct(F.xxhash64("id", "key").alias("h"), "id")
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(salted)["id"].alias("first"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("all"))
     shared = stored(shared.where("n > 1"), "keys")
     members = stored(bands.join(shared, "key"), "members")
-    wanted = stored(members.select("id").distinct(), "wanted")
+    of_near = near.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = stored(members.select("id").unionByName(of_near).distinct(), "wanted")
     texts = _identified(docs, ["doc_id"], text=True).groupBy("id").agg(F.first("text").alias("text"))
     texts = stored(texts.join(wanted, "id", "left_semi"), "texts")
-    pairs = members.where("id != first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
-    linked = stored(_tested(pairs, texts), "links")
+    pairs = members.where("id != first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    linked = stored(_tested(pairs.unionByName(near).distinct(), texts), "links")
     found = components(linked)
     # Keys with texts of several components, one key for each set of texts.
     sided = members.join(found, members["id"] == found["node"], "left").select("key", "id", "n", "all", F.coalesce("root", "id").alias("root"))
@@ -170,8 +191,8 @@ def links(docs: DataFrame, points: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component: the smallest doc_id, of rows that share it the one with the least hash of its text."""
-    prints = _identified(docs, ["doc_id"], keys=True).select(F.col("row.doc_id").alias("doc_id"), "id", "keys")
-    points = stored(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "points")
+    prints = _identified(docs, ["doc_id"], keys=True).select(F.col("row.doc_id").alias("doc_id"), "id", "keys", "fp")
+    points = stored(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "points")
     found = links(docs, points)
     rooted = stored(points.join(found, points["id"] == found["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root")), "rooted")
     names = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")

@@ -62,9 +62,11 @@ def shingle_hashes(parts: list[str], shingle: int) -> np.ndarray:
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Majority bits of the shingles' hashes."""
     parts = words(text)
-    if not parts:
-        return 0
-    hashes = shingle_hashes(parts, shingle)
+    return majority(shingle_hashes(parts, shingle)) if parts else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # a very long text must not make a large table of bits
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
