@@ -4,9 +4,9 @@ Texts are lines of words (A-Z in lower case, cut at ASCII white space) and one e
 ids: each word, with a space before it, merged by the ranks of a public byte-level vocabulary, then an end id.
 
 Learning covers all training texts. Words are counted in one pass, and the ids' counts follow from them; these set the
-model's vocabulary. A second pass draws slices of 16 words by a hash: one in SHARE (more where that would be fewer than
-START), and at least one of every text. START of them (the smallest hashes) give the first weights, on the driver; then
-every task trains on the slices of its own partition from there, and Spark averages the weights by numbers of tokens. What is gathered (counts,
+model's vocabulary. A second pass draws about START slices of 16 words by a hash, and at least one of every text; START
+of them (the smallest hashes) give the weights that training starts from, on the driver. Then every task trains on every
+token of all texts of its own partition from there, and Spark averages the weights by numbers of tokens. What is gathered (counts,
 slices) grows with the input; what is collected or sent to tasks does not: START slices, one vector of weights, the
 counts of 50,000 ids and of the HEAVY most frequent words.
 
@@ -34,7 +34,7 @@ from .attention import Adam, Model, Vocabulary, blocks, blocks_of
 from .common import stored, text_or_empty
 
 END = 50256
-SLICE, SHARE = 16, 32  # words of a slice, slices per one that is drawn
+SLICE = 16  # words of a slice
 START, STEPS, EPOCHS, RATE = 150_000, 4_000, 20, 8e-3
 BATCH, TUNE = 256, 5e-4  # blocks of a step, the tasks' rate
 HEAVY = 200_000
@@ -262,13 +262,57 @@ def _lines(rows, vocabulary: Vocabulary) -> list[np.ndarray]:
     return [line for line in lines if len(line) > 1]
 
 
+def whole_lines(known: Words, texts: list[bytes]):
+    """(ids, lengths) of lines that hold every token of the texts, ends included, once beside a first one.
+
+    A text is a line between two ends; a very long one is a line for each piece, which begins with the last id before.
+    """
+    small = [t for t in texts if len(t) <= LONG]
+    if small:
+        lists = [[b"\n", *next(pieces(t), []), b"\n"] for t in small]
+        numbers = known.numbers(list(chain.from_iterable(lists)))
+        yield known.line(numbers), _sums(known.size[numbers], np.array([len(x) for x in lists]))
+    for text in texts:
+        if len(text) > LONG:
+            last = np.array([END], dtype="<u2")
+            for words in chain(pieces(text), [[b"\n"]]):
+                if words:
+                    line = np.concatenate([last, known.line(known.numbers(words))])
+                    yield line, np.array([len(line)])
+                    last = line[-1:]
+
+
+def tuned_weights(texts: DataFrame, vocabulary: str, model: Model, leaves: Vocabulary) -> DataFrame:
+    """(tokens, weights): the weights of each task, which has trained on every token of its texts, starting from `model`."""
+    weights = texts.sparkSession.sparkContext.broadcast(model.vector)
+
+    def tune(batches):
+        import pyarrow as pa
+
+        known, own, tokens = known_words(vocabulary), Model(weights.value.copy()), 0
+        learn = Adam(own, TUNE)
+        for batch in batches:
+            for part in range(0, batch.num_rows, DOCS):
+                for flat, lengths in whole_lines(known, text_bytes(batch.slice(part, DOCS).column("text"))):
+                    inputs, targets, starts, _ = blocks_of(leaves.leaf[flat], lengths)
+                    for at in range(0, len(inputs), BATCH):
+                        some = slice(at, at + BATCH)
+                        starts[at] = True  # the block before is not in this step
+                        learn(inputs[some], targets[some], starts[some])
+                    tokens += int((lengths - 1).sum())
+        if tokens:
+            made = pa.array([own.vector], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), made], names=["tokens", "weights"])
+
+    return texts.mapInArrow(tune, "tokens long, weights array<float>")
+
+
 def train(texts: DataFrame, vocabulary: str, counts: DataFrame) -> tuple[Model, Vocabulary]:
     """The model from all training texts."""
     ids = count_ids(counts, vocabulary)
     ids[END] += texts.count()
     leaves = Vocabulary(ids)
-    rate = max(1 / SHARE, START * SLICE / max(1, ids.sum()))
-    slices = stored(draw_slices(texts, vocabulary, rate), "slices")
+    slices = draw_slices(texts, vocabulary, START * SLICE / max(1, ids.sum()))
     first = _lines(slices.orderBy("h", "ids").limit(START).toArrow().column("ids").to_pylist(), leaves)
     model = Model.fresh(leaves)
     if not first:
@@ -281,25 +325,7 @@ def train(texts: DataFrame, vocabulary: str, counts: DataFrame) -> tuple[Model,
         some = [p[at : at + BATCH] for p in parts]
         learn(*some, rate=1 - 0.95 * step / steps)
 
-    weights = slices.sparkSession.sparkContext.broadcast(model.vector)
-
-    def tune(batches):
-        import pyarrow as pa
-
-        own, tokens = Model(weights.value.copy()), 0
-        learn = Adam(own, TUNE)
-        for batch in batches:
-            lines = _lines(batch.column("ids").to_pylist(), leaves)
-            if lines:
-                inputs, targets, starts, _ = blocks(lines)
-                for at in range(0, len(inputs), BATCH):
-                    learn(inputs[at : at + BATCH], targets[at : at + BATCH], starts[at : at + BATCH])
-                tokens += sum(map(len, lines))
-        if tokens:
-            made = pa.array([own.vector], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([tokens]), made], names=["tokens", "weights"])
-
-    tuned = slices.mapInArrow(tune, "tokens long, weights array<float>").select("tokens", F.posexplode("weights"))
+    tuned = tuned_weights(texts, vocabulary, model, leaves).select("tokens", F.posexplode("weights"))
     mean = F.sum(F.col("col").cast("double") * F.col("tokens")) / F.sum("tokens")
     found = tuned.groupBy("pos").agg(mean.alias("weight")).toArrow()
     vector = np.empty(Model.size(), dtype=np.float32)
