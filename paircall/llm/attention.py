@@ -9,6 +9,8 @@ the last cluster and are told apart by their share of the leaf's count, so every
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 BLOCK, FACES, WIDTH, SIDE = 16, 8, 32, 32  # positions of a block, width of keys, of the hidden layer, of the tree
@@ -18,6 +20,16 @@ BOUND = 40.0  # of attention scores, so that exp needs no shift
 LIMIT = 60.0  # of logits
 PASS = 512  # blocks that are scored at once, so that the tables stay in the cache
 _NEVER = np.float32(-1e9)
+_AWAY = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # from a query back to each position of its window
+_BACK = np.clip(_AWAY, 0, 2 * BLOCK - 1)
+
+
+def keep_memory() -> None:
+    """From now on, this process reuses the memory of freed arrays.
+
+    glibc hands blocks back to the system, which clears them again page by page, until a larger one has been freed.
+    """
+    np.empty((1 << 25) - (1 << 16), dtype=np.uint8)
 
 
 class Vocabulary:
@@ -73,13 +85,13 @@ class Model:
         self.vector = vector
         self.parts, at = {}, 0
         for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
+            n = math.prod(shape)
             self.parts[name] = vector[at : at + n].reshape(shape)
             at += n
 
     @classmethod
     def size(cls) -> int:
-        return sum(int(np.prod(s)) for s in cls.SHAPES.values())
+        return sum(map(math.prod, cls.SHAPES.values()))
 
     @classmethod
     def fresh(cls, vocabulary: Vocabulary, seed: int = 5) -> "Model":
@@ -106,146 +118,203 @@ class Model:
 
     def masks(self) -> np.ndarray:
         """(first block or not) x query x key: the bias by distance, or never."""
-        away = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
-        seen = np.where(away >= 0, np.clip(self.parts["far"], -BOUND, BOUND)[np.clip(away, 0, 2 * BLOCK - 1)], _NEVER)
+        seen = np.where(_AWAY >= 0, np.clip(self.parts["far"], -BOUND, BOUND)[_BACK], _NEVER)
         first = seen.copy()
         first[:, :BLOCK] = _NEVER
         return np.stack([seen, first]).astype(np.float32)
 
-    @staticmethod
-    def _context(table: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-        """Rows of the block before and of the own block; before a line's first block stands what is masked anyway."""
-        own = table[inputs]
-        return np.concatenate([np.concatenate([own[:1], own[:-1]]), own], axis=1)
-
     def scores(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log probability of each target leaf, 0 where there is none. Blocks of a line follow each other."""
-        tables, masks, out = self.tables(), self.masks(), np.empty(targets.shape, dtype=np.float32)
+        # All that is looked up for a leaf is one row: its tables and its direct say in the next cluster.
+        table = np.concatenate([*self.tables(), self.parts["pair"] + self.parts["cluster0"]], axis=1)
+        masks, out = self.masks(), np.empty(targets.shape, dtype=np.float32)
         for at in range(0, len(inputs), PASS):
             lead = min(at, 1)  # the block before the first one is its context
             some = slice(at - lead, at + PASS)
-            out[at : at + PASS] = self._pass(tables, masks, inputs[some], np.maximum(targets[some], 0), starts[some])[lead:]
+            out[at : at + PASS] = self._pass(table, masks, inputs[some], np.maximum(targets[some], 0), starts[some])[lead:]
         return np.where(targets >= 0, out, 0)
 
-    def _pass(self, tables, masks: np.ndarray, inputs: np.ndarray, goal: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        ask, key, value, own = tables
-        weights = np.matmul(ask[inputs], _windows(key, inputs).transpose(0, 2, 1))
+    def _pass(self, table, masks: np.ndarray, inputs: np.ndarray, goal: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        rows = _windows(table, inputs)
+        own = rows[:, BLOCK:]
+        weights = np.matmul(own[..., _COLUMNS["ask"]], rows[..., _COLUMNS["key"]].transpose(0, 2, 1))
         weights += masks[0]
         weights[starts, :, :BLOCK] = _NEVER
         np.exp(weights, out=weights)
-        hidden = np.matmul(weights, _windows(value, inputs)).reshape(-1, WIDTH)
-        hidden /= weights.reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), dtype=np.float32)
-        hidden += own[inputs.ravel()]
+        hidden = np.matmul(weights, rows[..., _COLUMNS["value"]])
+        hidden /= _row_sums(weights)
+        hidden += own[..., _COLUMNS["own"]]
         np.maximum(hidden, 0, out=hidden)
-        p, goal, each = self.parts, goal.ravel(), np.arange(goal.size)
+        hidden = hidden.reshape(-1, WIDTH)
+        p, goal = self.parts, goal.ravel()
         cluster, member = goal // SIDE, goal % SIDE
-        outer = hidden @ p["cluster"]
-        outer += p["cluster0"]
-        outer += p["pair"][inputs.ravel()]
-        found = _log_share(outer, each, cluster)
+        outer = (hidden @ p["cluster"]).reshape(*inputs.shape, SIDE)
+        outer += own[..., _COLUMNS["pair"]]
+        found = _log_share(outer.reshape(-1, SIDE), cluster)
         order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(SIDE + 1))
-        grouped, inner = hidden[order], np.empty((len(goal), SIDE), dtype=np.float32)
+        edges = np.searchsorted(cluster[order], np.arange(SIDE + 1)).tolist()
+        grouped, inner = hidden.take(order, axis=0), np.empty((len(goal), SIDE), dtype=np.float32)
         for c in range(SIDE):
-            rows = slice(edges[c], edges[c + 1])
-            np.matmul(grouped[rows], p["member"][c], out=inner[rows])
-            inner[rows] += p["member0"][c]
-        found[order] += _log_share(inner, each, member[order])
+            some = slice(edges[c], edges[c + 1])
+            np.matmul(grouped[some], p["member"][c], out=inner[some])
+            inner[some] += p["member0"][c]
+        found[order] += _log_share(inner, member[order])
         return found.reshape(inputs.shape)
 
     def slopes(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss and its slope, as a vector like the weights'."""
-        p, grad = self.parts, Model(np.zeros_like(self.vector))
-        g = grad.parts
-        ask, key, value, own = (p["embed"] @ p[n] for n in ("ask", "key", "value", "own"))
-        q, k, v = ask[inputs], self._context(key, inputs), self._context(value, inputs)
-        weights = np.exp(np.minimum(np.matmul(q, k.transpose(0, 2, 1)), BOUND) + self.masks()[starts.astype(np.int8)])
-        weights /= weights.sum(2, keepdims=True)
-        hidden = np.matmul(weights, v) + own[inputs] + p["bend"]
-        flat = np.maximum(hidden, 0).reshape(-1, WIDTH)
-        real = np.flatnonzero(targets.ravel() >= 0)
-        goal, h = targets.ravel()[real], flat[real]
-        n, cluster, member = max(1, len(goal)), goal // SIDE, goal % SIDE
-
-        outer = _softmax(h @ p["cluster"] + p["cluster0"] + p["pair"][inputs.ravel()[real]])
-        loss = -np.log(outer[np.arange(len(goal)), cluster]).sum()
-        outer[np.arange(len(goal)), cluster] -= 1
-        g["pair"][:] = _summed(inputs.ravel()[real], outer / n)
-        g["cluster"][:], g["cluster0"][:] = h.T @ outer / n, outer.sum(0) / n
-        back = outer @ p["cluster"].T
-        order = np.argsort(cluster, kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(SIDE + 1))
-        for c in range(SIDE):
-            some = order[edges[c] : edges[c + 1]]
-            if len(some):
-                inner = _softmax(h[some] @ p["member"][c] + p["member0"][c])
-                loss -= np.log(inner[np.arange(len(some)), member[some]]).sum()
-                inner[np.arange(len(some)), member[some]] -= 1
-                g["member"][c], g["member0"][c] = h[some].T @ inner / n, inner.sum(0) / n
-                back[some] += inner @ p["member"][c].T
-
-        above = np.zeros_like(flat)
-        above[real] = back / n
-        above = (above * (flat > 0)).reshape(hidden.shape)
-        g["bend"][:] = above.sum((0, 1))
+        """Mean loss and its slope, as a vector like the weights'. The first block begins a line or has none before it."""
+        p, grad = self.parts, Model(np.empty_like(self.vector))
+        g, kind = grad.parts, self.vector.dtype
+        # The four tables of all leaves are columns of one, so each position looks up one row.
+        maps = np.concatenate([p[name] for name in _TABLES], axis=1)
+        table = p["embed"] @ maps
+        longest = [np.einsum("ij,ij->i", x, x).max() for x in (table[:, _COLUMNS["ask"]], table[:, _COLUMNS["key"]])]
+        table[:, _COLUMNS["own"]] += p["bend"]
+        leaf = inputs.ravel().astype(np.intp)
+        rows = _windows(table, inputs)
+        q, k, v, own = rows[:, BLOCK:, _COLUMNS["ask"]], rows[:, :, _COLUMNS["key"]], rows[:, :, _COLUMNS["value"]], rows[:, BLOCK:, _COLUMNS["own"]]
+        weights = np.matmul(q, k.transpose(0, 2, 1))
+        if longest[0] * longest[1] > BOUND**2:  # else no product of two rows is above the bound
+            np.minimum(weights, BOUND, out=weights)
+        weights += self.masks()[0]
+        weights[starts, :, :BLOCK] = _NEVER
+        np.exp(weights, out=weights)
+        weights /= _row_sums(weights)
+        hidden = np.matmul(weights, v)
+        hidden += own
+        # The last column, of ones, meets the constant terms.
+        h = np.ones((targets.size, WIDTH + 1), dtype=kind)
+        np.maximum(hidden.reshape(-1, WIDTH), 0, out=h[:, :WIDTH])
+        real, goal = targets.ravel() >= 0, np.maximum(targets.ravel(), 0)
+        share = real.astype(kind) / max(1, int(real.sum()))
+        cluster, member = goal // SIDE, goal % SIDE
+
+        slope = np.empty((targets.size, _COLUMNS["pair"].stop), dtype=kind)
+        outer = h @ np.concatenate([p["cluster"], p["cluster0"][None]])
+        outer += p["pair"].take(leaf, axis=0)
+        loss = _to_slopes(outer, cluster, share)
+        slope[:, _COLUMNS["pair"]] = outer
+        found = h.T @ outer
+        g["cluster"][:], g["cluster0"][:] = found[:WIDTH], found[WIDTH]
+
+        order = np.argsort(cluster.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(cluster[order], np.arange(SIDE + 1)).tolist()
+        full = np.concatenate([p["member"], p["member0"][:, None]], axis=1)
+        grouped, inner = h.take(order, axis=0), np.empty((targets.size, SIDE), dtype=kind)
+        some = [(c, slice(edges[c], edges[c + 1])) for c in range(SIDE)]
+        for c, at in some:
+            np.matmul(grouped[at], full[c], out=inner[at])
+        loss += _to_slopes(inner, member[order], share[order])
+        back = np.empty((targets.size, WIDTH), dtype=kind)
+        for c, at in some:
+            found = grouped[at].T @ inner[at]
+            g["member"][c], g["member0"][c] = found[:WIDTH], found[WIDTH]
+            np.matmul(inner[at], p["member"][c].T, out=back[at])
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        above = outer @ p["cluster"].T
+        above += back.take(place, axis=0)
+        above *= h[:, :WIDTH] > 0
+        above = above.reshape(hidden.shape)
+
         d_value = np.matmul(weights.transpose(0, 2, 1), above)
         d_weights = np.matmul(above, v.transpose(0, 2, 1))
-        d_weights = weights * (d_weights - (weights * d_weights).sum(2, keepdims=True))
-        away = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
-        g["far"][:] = np.bincount(away.ravel(), weights=d_weights.sum(0).ravel(), minlength=2 * BLOCK)
-        tables = {"ask": (inputs, np.matmul(d_weights, k)), "own": (inputs, above)}
+        d_weights -= np.einsum("bij,bij->bi", weights, d_weights)[:, :, None]
+        d_weights *= weights
+        g["bend"][:] = above.reshape(-1, WIDTH).sum(0)
+        g["far"][:] = np.bincount(_BACK.ravel(), weights=d_weights.sum(0).ravel(), minlength=2 * BLOCK)
+        own_slope = slope.reshape(*inputs.shape, -1)
+        own_slope[:, :, _COLUMNS["ask"]] = np.matmul(d_weights, k)
+        own_slope[:, :, _COLUMNS["own"]] = above
         for name, d in (("key", np.matmul(d_weights.transpose(0, 2, 1), q)), ("value", d_value)):
-            # What a block's positions get as context of the block after comes on top.
-            mine = d[:, BLOCK:].copy()
-            mine[:-1] += d[1:, :BLOCK] * ~starts[1:, None, None]
-            tables[name] = (inputs, mine)
-        for name, (at, d) in tables.items():
-            table = _summed(at.ravel(), d.reshape(-1, d.shape[-1]))
-            g[name][:] = p["embed"].T @ table
-            g["embed"][:] += table @ p[name].T
-        return float(loss) / n, grad.vector
+            # What a block's positions get as context of the block after comes on top; a line's first block has none.
+            own_slope[:, :, _COLUMNS[name]] = d[:, BLOCK:]
+            own_slope[:-1, :, _COLUMNS[name]] += d[1:, :BLOCK]
+        summed = _summed(leaf, slope)
+        g["pair"][:] = summed[:, _COLUMNS["pair"]]
+        of_tables = summed[:, : maps.shape[1]]
+        g["embed"][:] = of_tables @ maps.T
+        found = p["embed"].T @ of_tables
+        for name in _TABLES:
+            g[name][:] = found[:, _COLUMNS[name]]
+        return loss, grad.vector
+
+
+_TABLES = ("ask", "key", "value", "own")
+_COLUMNS = {}
+for _name in (*_TABLES, "pair"):
+    _at = max((x.stop for x in _COLUMNS.values()), default=0)
+    _COLUMNS[_name] = slice(_at, _at + Model.SHAPES[_name][1])
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is kept."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], dtype=x.dtype)).reshape(*x.shape[:-1], 1)
+
+
+def _to_slopes(logits: np.ndarray, goal: np.ndarray, share: np.ndarray) -> float:
+    """The weighted loss of the goals after a softmax; the logits become its slope."""
+    if not -LIMIT <= logits.min(initial=0) <= logits.max(initial=0) <= LIMIT:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    sums = _row_sums(logits)[:, 0]
+    cells, at = logits.reshape(-1), np.arange(len(goal)) * logits.shape[1] + goal
+    loss = -float(np.log(cells[at] / sums) @ share)
+    logits *= (share / sums)[:, None]
+    cells[at] -= share
+    return loss
 
 
 def _summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rows added up by leaf."""
-    order = np.argsort(at, kind="stable")
-    found, begins = np.unique(at[order], return_index=True)
-    table = np.zeros((LEAVES, rows.shape[1]), dtype=np.float32)
-    table[found] = np.add.reduceat(rows[order], begins, axis=0)
+    """Rows added up by leaf: sorted by cluster, then one product with the members' marks for each."""
+    order = np.argsort((at // SIDE).astype(np.uint8), kind="stable")
+    at, rows = at[order], rows.take(order, axis=0)
+    edges = np.searchsorted(at // SIDE, np.arange(SIDE + 1)).tolist()
+    marks = np.zeros((len(at), SIDE), dtype=rows.dtype)
+    marks.reshape(-1)[np.arange(len(at)) * SIDE + at % SIDE] = 1
+    table = np.empty((LEAVES, rows.shape[1]), dtype=rows.dtype)
+    for c in range(SIDE):
+        some = slice(edges[c], edges[c + 1])
+        np.matmul(marks[some].T, rows[some], out=table[c * SIDE : (c + 1) * SIDE])
     return table
 
 
 def _windows(table: np.ndarray, inputs: np.ndarray) -> np.ndarray:
     """For each block, the rows of the block before and its own: windows that overlap by half, as one view."""
-    rows = np.zeros((len(inputs) + 1, BLOCK, table.shape[1]), dtype=table.dtype)
-    np.take(table, inputs, axis=0, out=rows[1:])
+    rows = np.empty((len(inputs) + 1, BLOCK, table.shape[1]), dtype=table.dtype)
+    rows[0] = 0
+    np.take(table, inputs, axis=0, out=rows[1:], mode="clip")  # numpy copies through a buffer unless it may clip
     block, row, cell = rows.strides
     return np.lib.stride_tricks.as_strided(rows, (len(inputs), 2 * BLOCK, table.shape[1]), (block, row, cell), writeable=False)
 
 
-def _log_share(logits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Log of one column's share after a softmax; logits are limited instead of shifted, on both sides of the fraction."""
-    np.clip(logits, -LIMIT, LIMIT, out=logits)
-    chosen = logits[rows, columns]
+def _log_share(logits: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Log of each row's share of one column after a softmax; logits are limited instead of shifted, on both sides of the fraction."""
+    if not -LIMIT <= logits.min(initial=0) <= logits.max(initial=0) <= LIMIT:
+        np.clip(logits, -LIMIT, LIMIT, out=logits)
+    chosen = logits.reshape(-1)[np.arange(len(logits)) * logits.shape[1] + columns]
     np.exp(logits, out=logits)
     return chosen - np.log(logits @ np.ones(logits.shape[1], dtype=np.float32))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
-
-
 class Adam:
     def __init__(self, model: Model, rate: float):
         self.model, self.rate, self.step = model, rate, 0
-        self.first, self.second = np.zeros_like(model.vector), np.zeros_like(model.vector)
+        self.first, self.second, self.work = (np.zeros_like(model.vector) for _ in range(3))
 
     def __call__(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray, rate: float = 1.0) -> float:
         loss, slope = self.model.slopes(inputs, targets, starts)
         self.step += 1
-        self.first += 0.1 * (slope - self.first)
-        self.second += 0.01 * (slope * slope - self.second)
-        size = self.rate * rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
-        self.model.vector -= size * self.first / (np.sqrt(self.second) + 1e-8)
+        # In place and in this order, as each array is read and written from memory.
+        work = self.work
+        for mean, part in ((self.first, 0.1), (self.second, 0.01)):
+            np.subtract(slope, mean, out=work)
+            work *= part
+            mean += work
+            slope *= slope
+        np.sqrt(self.second, out=work)
+        work += 1e-8
+        np.divide(self.first, work, out=work)
+        work *= self.rate * rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
+        self.model.vector -= work
         return loss

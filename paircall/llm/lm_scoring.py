@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import Adam, Model, Vocabulary, blocks, blocks_of
+from .attention import Adam, Model, Vocabulary, blocks, blocks_of, keep_memory
 from .common import stored, text_or_empty
 
 END = 50256
@@ -289,6 +289,7 @@ def tuned_weights(texts: DataFrame, vocabulary: str, model: Model, leaves: Vocab
     def tune(batches):
         import pyarrow as pa
 
+        keep_memory()
         known, own, tokens = known_words(vocabulary), Model(weights.value.copy()), 0
         learn = Adam(own, TUNE)
         for batch in batches:
@@ -317,6 +318,7 @@ def train(texts: DataFrame, vocabulary: str, counts: DataFrame) -> tuple[Model,
     model = Model.fresh(leaves)
     if not first:
         return model, leaves
+    keep_memory()
     parts, draw = blocks(first)[:3], np.random.default_rng(3)
     steps = min(STEPS, max(50, EPOCHS * len(parts[0]) // BATCH))
     learn = Adam(model, RATE)
@@ -385,6 +387,7 @@ def score(docs: DataFrame, vocabulary: str, is_held_out: Column | None = None) -
         import pyarrow as pa
         from pyspark import TaskContext
 
+        keep_memory()
         vector, leaves, heavy = shared.value
         model, known = Model(vector), known_words(vocabulary).bind(heavy)
         # Texts without words have one score, which must not depend on what shares their batch.
