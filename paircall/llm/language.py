@@ -8,6 +8,9 @@ words are scored one by one: a known word by its log frequency in each language;
 joined words once, with a count. Words that learning never saw may be in every document; an aggregation follows the
 join, so Spark may split such a key (skew join).
 
+The driver holds the words that are sent and no other rows: these come to it packed, a few rows for all, and no join sends
+a side through it. Sizes of compressed files say little about the rows of words and n-grams that are made of them.
+
 Counting runs in tasks that flush their counters when these are full, and Spark adds the parts up.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or a model without languages; of equal
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from .common import row_of, stored, text_or_empty
 
 WORDS, LONGEST = 60_000, 4  # words that are sent to the tasks
+PACKED = 10_000  # of them in a row that goes to the driver
 FLUSH = 400_000  # counters a task holds
 DOCS = 256
 UNKNOWN = "und"
@@ -137,6 +142,25 @@ def most_frequent(units: DataFrame, most: int) -> DataFrame:
     return units.where(F.lit(False) if least is None else level >= least)
 
 
+def sent(rows: DataFrame, width: int) -> tuple[dict[str, int], np.ndarray]:
+    """The words of (unit, scores) with their rows of a matrix; they reach the driver as a few packed rows."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED):
+                part = batch.slice(at, PACKED)
+                values = part.column("scores").flatten().to_numpy().astype(np.float32)
+                # Words are letters, so a line end is in none of them.
+                yield pa.RecordBatch.from_pydict({"units": ["\n".join(part.column("unit").to_pylist())], "scores": [values.tobytes()]})
+
+    parts = rows.select("unit", "scores").mapInArrow(pack, "units string, scores binary").collect()
+    words = [w for part in parts for w in part["units"].split("\n")]
+    values = np.frombuffer(b"".join(part["scores"] for part in parts), dtype=np.float32).reshape(-1, width)
+    return {w: i for i, w in enumerate(words)}, values
+
+
 def learn(docs: DataFrame, language: str = "lang") -> Model:
     words = stored(count_words(docs, language), "words")
     languages = sorted(row["language"] for row in words.select("language").distinct().collect())
@@ -153,9 +177,7 @@ def learn(docs: DataFrame, language: str = "lang") -> Model:
         return F.array(*(F.log10((F.col("each")[i] + 0.5) / F.lit(n + 0.5 * size + 1)) for i, n in enumerate(total)))
 
     kinds = [units.where(F.col("kind") == kind).select("kind", "unit", "all", scores(kind).alias("scores")) for kind in range(LONGEST + 1)]
-    rows = most_frequent(kinds[0], WORDS).select("unit", "scores").collect()
-    values = np.array([row["scores"] for row in rows], dtype=np.float32).reshape(len(rows), len(languages))
-    model = Model(languages, [({row["unit"]: i for i, row in enumerate(rows)}, values)])
+    model = Model(languages, [sent(most_frequent(kinds[0], WORDS), len(languages))])
     model.units = kinds
     return model
 
@@ -167,17 +189,30 @@ def _grams(n: int) -> Column:
     return F.transform(begins, lambda i: F.substring(marked, i, n))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """As a side of a join: it is not collected on the driver, however small its files look."""
+    return df.hint("merge")
+
+
 def looked_up(words: DataFrame, model: Model) -> DataFrame:
-    """(word, scores) for distinct `word`, from all learned units, and for the other learned words; no row for a word without any known unit."""
+    """(word, scores) for distinct `word`, from all learned units, and for the other learned words; no row for a word without any known unit.
+
+    Words without a known n-gram of the greatest length, few in most texts, are joined with all shorter ones at once.
+    """
     found = model.units[0].select(F.col("unit").alias("word"), "scores")
-    left = stored(words.join(found.select("word"), "word", "left_anti"), "unseen")
+    left = stored(words.join(_shuffled(found.select("word")), "word", "left_anti"), "unseen")
     mean = F.array(*(F.avg(F.col("scores")[i]) for i in range(len(model.languages)))).alias("scores")
-    for n in range(LONGEST, 0, -1):
-        parts = left.select("word", F.explode(_grams(n)).alias("unit"))
-        means = parts.join(model.units[n].select("unit", "scores"), "unit").groupBy("word").agg(mean)
-        left = stored(left.join(means, "word", "left"), "looked")
-        found, left = found.unionByName(left.where("scores IS NOT NULL")), left.where("scores IS NULL").select("word")
-    return found
+
+    def means(lengths: range) -> DataFrame:
+        """(word, scores): the mean of its known n-grams of the greatest of these lengths that has any."""
+        parts = reduce(DataFrame.unionByName, (left.select("word", F.lit(n).alias("kind"), F.explode(_grams(n)).alias("unit")) for n in lengths))
+        units = reduce(DataFrame.unionByName, (model.units[n].select("kind", "unit", "scores") for n in lengths))
+        by = _shuffled(parts).join(_shuffled(units), ["kind", "unit"]).groupBy("word", "kind").agg(mean)
+        return by.groupBy("word").agg(F.max_by("scores", "kind").alias("scores"))
+
+    looked = stored(left.join(_shuffled(means(range(LONGEST, LONGEST + 1))), "word", "left"), "looked")
+    left = looked.where("scores IS NULL").select("word")
+    return found.unionByName(looked.where("scores IS NOT NULL")).unionByName(stored(means(range(LONGEST - 1, 0, -1)), "looked"))
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
@@ -221,9 +256,9 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     found = stored(rows.mapInArrow(task, shape), "sums")
     rare = found.select("no", F.inline("rare"))
     scored = looked_up(rare.select("word").distinct(), model)
-    more = rare.join(scored, "word").groupBy("no").agg(F.array(*(F.sum(F.col("scores")[i] * F.col("n")) for i in range(width))).alias("more"))
+    more = _shuffled(rare).join(_shuffled(scored), "word").groupBy("no").agg(F.array(*(F.sum(F.col("scores")[i] * F.col("n")) for i in range(width))).alias("more"))
     both = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
-    total = found.drop("rare").join(more, "no", "left").select("row", "words", both.alias("sums"))
+    total = found.drop("rare").join(_shuffled(more), "no", "left").select("row", "words", both.alias("sums"))
     weights = F.transform("sums", lambda s: F.exp((s - F.array_max("sums")) * F.lit(float(np.log(10))) / F.sqrt("words")))
     share = 1 / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
     names = F.array(*map(F.lit, model.languages))
